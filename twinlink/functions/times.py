@@ -29,11 +29,16 @@ def minute_boundaries(start: Column | str, end: Column | str) -> Column:
     return seconds_between(_full_minute(_col(start)), _full_minute(_col(end))) / 60
 
 
+def _two_places(x: Column) -> Column:
+    # format_number rounds the exact binary value, ties to even; format_string rounds its shortest decimal text up.
+    return F.call_function("format_number", x, F.lit("0.00"))
+
+
 def format_duration(seconds: Column | str) -> Column:
     """``x.xx minutes`` below one hour, else ``x.xx hours``."""
     seconds = _col(seconds)
-    return F.when(seconds < 3600, F.format_string("%.2f minutes", seconds / 60)).otherwise(
-        F.format_string("%.2f hours", seconds / 3600)
+    return F.when(seconds < 3600, F.concat(_two_places(seconds / 60), F.lit(" minutes"))).otherwise(
+        F.concat(_two_places(seconds / 3600), F.lit(" hours"))
     )
 
 

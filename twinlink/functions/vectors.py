@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinlink.schema import COSINE, EUCLIDEAN
 
@@ -32,12 +33,12 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0.0, 1.0, norm)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array((unit_rows(as_matrix(a)) * unit_rows(as_matrix(b))).sum(axis=1))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _squared_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     diff = as_matrix(a) - as_matrix(b)
     return pa.array((diff * diff).sum(axis=1))

@@ -28,10 +28,11 @@ def _append(rows: DataFrame, path: str, schema: T.StructType, by: list[str]) ->
     """Append rows in the table's types; a null in a required column fails the write."""
 
     def value(f: T.StructField):
-        c = F.col(f.name).cast(f.dataType)
+        kind = f.dataType.simpleString()
+        c = F.col(f.name).cast(kind)
         if f.nullable:
             return c.alias(f.name)
-        return F.coalesce(c, F.raise_error(F.lit(f"{f.name} must not be null")).cast(f.dataType)).alias(f.name)
+        return F.coalesce(c, F.raise_error(F.lit(f"{f.name} must not be null")).cast(kind)).alias(f.name)
 
     rows.select(*[value(f) for f in schema]).write.mode("append").partitionBy(*by).parquet(path)
 

@@ -135,18 +135,19 @@ scores AS (
 
 
 def task_rows(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
-    """Rows for the task-embedding table: a d2 vector in the context of d1 is the sum of both."""
+    """Rows for the task-embedding table: a d2 vector in the context of d1 is a weighted sum of both."""
     e = table(spark, sf_dir, "embeddings")
     v1 = e.select(F.col("vec_id").alias("d1_id"), F.col("embedding").alias("v1"))
     v2 = e.select(F.col("vec_id").alias("d2_id"), F.col("embedding").alias("v2"))
     d1 = candidates.select("d1_id").distinct().join(v1, "d1_id")
     d1 = d1.select("d1_id", F.col("d1_id").alias("record_id"), F.lit(False).alias("is_d2"), F.col("v1").alias("embeddings"))
+    weight = (F.col("d2_id") % 5 + 1) / 4.0
     both = candidates.select("d1_id", "d2_id").join(v1, "d1_id").join(v2, "d2_id")
     d2 = both.select(
         "d1_id",
         F.col("d2_id").alias("record_id"),
         F.lit(True).alias("is_d2"),
-        F.zip_with("v1", "v2", lambda x, y: (x + (F.col("d2_id") % 5 + 1) * y).cast("float")).alias("embeddings"),
+        F.zip_with("v1", "v2", lambda x, y: (y.cast("double") + x.cast("double") * weight).cast("float")).alias("embeddings"),
     )
     rows = d1.unionByName(d2)
     return rows.select(
@@ -162,7 +163,7 @@ def task_rows(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFr
 TASK_SCORES_SQL = """
 context AS (
   SELECT d1_id, d2_id, pos, e1.embedding::DOUBLE[] AS v1,
-         list_transform(list_zip(e1.embedding, e2.embedding), lambda p: (p[1] + (d2_id % 5 + 1) * p[2])::FLOAT)::DOUBLE[] AS v2
+         list_transform(list_zip(e1.embedding, e2.embedding), lambda p: (p[2]::DOUBLE + p[1]::DOUBLE * ((d2_id % 5 + 1) / 4.0)::DOUBLE)::FLOAT)::DOUBLE[] AS v2
   FROM pairs JOIN embeddings e1 ON e1.vec_id = d1_id JOIN embeddings e2 ON e2.vec_id = d2_id),
 task_scores AS (
   SELECT d1_id, d2_id, pos, list_cosine_similarity(v1, v2) AS cosine,
