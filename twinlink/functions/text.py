@@ -48,7 +48,9 @@ def truncate_tokens(
     text = _col(text)
     tokens = tokenize(text)
     kept = F.concat(F.slice(tokens, 1, limit - TAIL_TOKENS), F.slice(tokens, -TAIL_TOKENS, TAIL_TOKENS))
-    return F.when(F.size(tokens) > limit, F.array_join(kept, "")).otherwise(text)
+    # A token has at least one byte, so a short text is kept without being cut into tokens.
+    short = F.octet_length(text) <= limit
+    return F.when(short, text).when(F.size(tokens) > limit, F.array_join(kept, "")).otherwise(text)
 
 
 def instruct_prefix(task: str, text: Column | str) -> Column:

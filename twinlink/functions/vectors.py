@@ -33,14 +33,23 @@ def unit_rows(m: np.ndarray) -> np.ndarray:
     return m / np.where(norm == 0.0, 1.0, norm)
 
 
+def _matrices(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    x, y = as_matrix(a), as_matrix(b)
+    if x.shape != y.shape:
+        raise ValueError("vectors of unequal length")
+    return x, y
+
+
 @F.arrow_udf(T.DoubleType())
 def _cosine(a: pa.Array, b: pa.Array) -> pa.Array:
-    return pa.array((unit_rows(as_matrix(a)) * unit_rows(as_matrix(b))).sum(axis=1))
+    x, y = _matrices(a, b)
+    return pa.array((unit_rows(x) * unit_rows(y)).sum(axis=1))
 
 
 @F.arrow_udf(T.DoubleType())
 def _squared_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    diff = as_matrix(a) - as_matrix(b)
+    x, y = _matrices(a, b)
+    diff = x - y
     return pa.array((diff * diff).sum(axis=1))
 
 

@@ -1,12 +1,16 @@
 """Record texts to vectors.
 
 An encoder is any function from a list of texts to a 2-d array. It is made once per task by a factory, so that a
-model is loaded where it is used, and sees texts in Arrow batches. A JVM-side encoder without a model is included.
+model is loaded where it is used, and sees texts in Arrow batches. An encoder without a model is included.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -14,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlink.functions.text import WORD, instruct_prefix
+from twinlink.functions.text import instruct_prefix
 from twinlink.operators.resume import resume_embeddings, resume_task_embeddings
 from twinlink.schema import EMBEDDING_MODELS
 
@@ -42,21 +46,25 @@ def encode(texts: DataFrame, factory: Callable[[], Encoder], batch_rows: int = 2
     return texts.select(*[f.name for f in keys], "text").mapInPandas(run, T.StructType(keys + [vector]))
 
 
-def hashed_words(texts: DataFrame, dim: int = 32) -> DataFrame:
-    """Encoder without a model: word counts folded into ``dim`` places by a hash, as column expressions.
-
-    Words are counted per (record, place) by partial aggregation, so a long text is not held as an array of vectors.
-    """
-    keys = [c for c in texts.columns if c != "text"]
-    words = texts.withColumn("word", F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))))
-    place = F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("int") % dim
-    counts = words.groupBy(*keys, place.alias("place")).agg(F.count("word").alias("n"))
-    # A text without words has one group whose place is null; it gets the zero vector.
-    entry = F.when(F.col("place").isNotNull(), F.struct("place", "n"))
-    cells = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("cells"))
-    places = F.array(*[F.lit(i) for i in range(dim)])
-    filled = F.transform(places, lambda i: F.coalesce(F.col("cells")[i], F.lit(0)).cast("float"))
-    return cells.select(*keys, filled.alias("embeddings"))
+def word_hash_encoder(dim: int = 32) -> Encoder:
+    """Encoder without a model: word counts folded into ``dim`` places by a hash of the word."""
+
+    @lru_cache(maxsize=1 << 16)
+    def place(word: str) -> int:
+        return int(hashlib.md5(word.encode()).hexdigest()[:6], 16) % dim
+
+    def encode_texts(texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim), dtype=np.float32)
+        for row, text in enumerate(texts):
+            for word, n in Counter(re.findall(r"\w+", text.lower())).items():
+                out[row, place(word)] += n
+        return out
+
+    return encode_texts
+
+
+def hashed_words(texts: DataFrame) -> DataFrame:
+    return encode(texts, word_hash_encoder)
 
 
 def model_text(model: str, text: Column | str) -> Column:

@@ -88,14 +88,29 @@ def judge_retry(questions: DataFrame, judge: Judge, options: Options) -> DataFra
     return questions.mapInPandas(run, schema)
 
 
+class Asker:
+    """One prompt type put to one judge; its column expressions are built once and serve any number of frames."""
+
+    def __init__(self, judge: Judge, prompt_type: str, options: Options):
+        self.judge, self.options = judge, options
+        prompt = build_prompt(prompt_type, "record", "candidates")
+        self.asked = [
+            F.size("candidates").alias("n_candidates"),
+            truncate_tokens("full_prompt", options.max_tokens).alias("prompt"),
+        ]
+        self.full_prompt = prompt.alias("full_prompt")
+        self.parsed = parse(prompt_type, "response", "n_candidates", **options.flags)
+
+    def __call__(self, questions: DataFrame) -> DataFrame:
+        keys = [c for c in questions.columns if c not in ("record", "candidates")]
+        asked = questions.select(*keys, "candidates", self.full_prompt).select(*keys, *self.asked)
+        responses = judge_retry(asked, self.judge, self.options)
+        return responses.withColumn("parsed", self.parsed).select(*keys, "parsed.status", "parsed.answer")
+
+
 def judge_batch(questions: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
     """Ask about ``record`` and its ``candidates``; adds ``status`` and ``answer``, drops the texts."""
-    n = F.size("candidates").alias("n_candidates")
-    prompt = truncate_tokens(build_prompt(prompt_type, "record", "candidates"), options.max_tokens).alias("prompt")
-    keys = [c for c in questions.columns if c not in ("record", "candidates")]
-    asked = judge_retry(questions.select(*keys, n, prompt), judge, options)
-    parsed = parse(prompt_type, "response", "n_candidates", **options.flags)
-    return asked.withColumn("parsed", parsed).select(*keys, "parsed.status", "parsed.answer")
+    return Asker(judge, prompt_type, options)(questions)
 
 
 def log_rows(answers: DataFrame, prompt_type: str, options: Options) -> DataFrame:
@@ -156,44 +171,49 @@ def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Opti
     longest = state.agg(F.max("n")).first()[0] or 0
     done = [state.filter(F.col("n") == 1)]
     columns = state.columns
+    compare = _Round(Asker(judge, prompt_type, options))
     for t in range(max(0, 2 * longest - 3)):
-        state = materialise(_compare_round(state.filter(2 * F.col("n") - 3 > t), t, judge, prompt_type, options))
+        state = materialise(compare(state.filter(f"2 * n - 3 > {t}"), t))
         # Lists of n candidates have had their last question in round 2n - 4.
-        done.append(state.filter(2 * F.col("n") - 4 == t))
+        done.append(state.filter(f"2 * n - 4 = {t}"))
     out = done[0].select(*columns)
     for part in done[1:]:
         out = out.unionByName(part)
     return out.drop("n")
 
 
-def _compare_round(state: DataFrame, t: int, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
-    slot = F.col("slot")
-    lower = F.when((t - slot) % 2 == 0, slot).otherwise(slot - 1)
-    meets = (lower >= 0) & (lower <= t) & (lower + (t - lower) / 2 <= F.col("n") - 2)
-    marked = state.withColumns({"lower": lower, "meets": meets})
+class _Round:
+    """One round of comparisons; the expressions are built once, the round number is a column."""
 
-    def at(offset: int):
-        here = F.when(slot == F.col("lower") + offset, F.struct("d2_id", "d2_text"))
-        return F.max(here)
+    def __init__(self, ask: Asker):
+        self.ask = ask
+        slot, t, n, lower = F.col("slot"), F.col("t"), F.col("n"), F.col("lower")
+        self.lower = F.when((t - slot) % 2 == 0, slot).otherwise(slot - 1)
+        self.meets = (lower >= 0) & (lower <= t) & (lower + (t - lower) / 2 <= n - 2)
 
-    questions = (
-        marked.filter("meets")
-        .groupBy("d1_id", "lower")
-        .agg(F.first("n").alias("n"), F.first("d1_text").alias("d1_text"), at(1).alias("a"), at(0).alias("b"))
-        .select(
-            "d1_id", "lower", "n", "d1_text",
-            F.col("a.d2_id").alias("a_id"), F.col("a.d2_text").alias("a_text"),
-            F.col("b.d2_id").alias("b_id"), F.col("b.d2_text").alias("b_text"),
-            F.col("d1_text").alias("record"), F.array("a.d2_text", "b.d2_text").alias("candidates"),
-        )
-    )
-    judged = judge_batch(questions, judge, prompt_type, options)
-    swap = F.coalesce((F.col("status") == VALID) & (F.col("answer") == "record a"), F.lit(False))
-    a = F.struct(F.when(swap, F.col("lower")).otherwise(F.col("lower") + 1).alias("slot"), F.col("a_id").alias("d2_id"), F.col("a_text").alias("d2_text"))
-    b = F.struct(F.when(swap, F.col("lower") + 1).otherwise(F.col("lower")).alias("slot"), F.col("b_id").alias("d2_id"), F.col("b_text").alias("d2_text"))
-    moved = judged.select("d1_id", "n", "d1_text", "status", F.explode(F.array(a, b)).alias("row"))
-    moved = moved.select("d1_id", "n", "d1_text", "status", "row.*")
-    return moved.unionByName(marked.filter(~F.col("meets")).drop("lower", "meets").select(*moved.columns))
+        def at(offset: int):
+            here = F.when(slot == lower + offset, F.struct("d2_id", "d2_text"))
+            return F.max(here)
+
+        self.meeting = [F.first("n").alias("n"), F.first("d1_text").alias("d1_text"), at(1).alias("a"), at(0).alias("b")]
+        names = {"a.d2_id": "a_id", "a.d2_text": "a_text", "b.d2_id": "b_id", "b.d2_text": "b_text", "d1_text": "record"}
+        self.question = [F.col(c).alias(name) for c, name in names.items()]
+        self.question.append(F.array("a.d2_text", "b.d2_text").alias("candidates"))
+
+        swap = F.coalesce((F.col("status") == VALID) & (F.col("answer") == "record a"), F.lit(False))
+
+        def moved(side: str, up, down):
+            place = F.when(swap, up).otherwise(down)
+            return F.struct(place.alias("slot"), F.col(f"{side}_id").alias("d2_id"), F.col(f"{side}_text").alias("d2_text"))
+
+        self.moved = F.explode(F.array(moved("a", lower, lower + 1), moved("b", lower + 1, lower))).alias("row")
+
+    def __call__(self, state: DataFrame, t: int) -> DataFrame:
+        marked = state.withColumn("t", F.lit(t)).withColumn("lower", self.lower).withColumn("meets", self.meets)
+        pairs = marked.filter("meets").groupBy("d1_id", "lower").agg(*self.meeting)
+        judged = self.ask(pairs.select("d1_id", "lower", "n", "d1_text", *self.question))
+        moved = judged.select("d1_id", "n", "d1_text", "status", self.moved).select("d1_id", "n", "d1_text", "status", "row.*")
+        return moved.unionByName(marked.filter("not meets").select(*moved.columns))
 
 
 def score_sort(pairs: DataFrame, score: str) -> DataFrame:

@@ -49,11 +49,32 @@ PAIR_CUTS = {"entries": "\n", "compact": "], "}
 RECORD_CUTS = {"entries": "\n", "compact": '", "'}
 
 
+def _pieces(spark: SparkSession, path: str, cut: str) -> DataFrame:
+    return spark.read.option("lineSep", cut).text(path).withColumn(ROW_POS, _file_position())
+
+
 def _entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
     """Pieces of an object without the punctuation between entries."""
-    lines = spark.read.option("lineSep", cut).text(path).withColumn(ROW_POS, _file_position())
     piece = F.regexp_replace(F.regexp_replace("value", r"^[\s{,]+", ""), r"[\s,}]+$", "")
-    return lines.select(piece.alias("piece"), ROW_POS).filter(F.col("piece") != "")
+    return _pieces(spark, path, cut).select(piece.alias("piece"), ROW_POS).filter(F.col("piece") != "")
+
+
+def _text_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
+    """Pieces of a one-line object of texts, with the quotes back that the cut took.
+
+    A cut-off text may end in anything, so only the object's own braces are removed: the first piece alone starts
+    with one, the last alone has one behind an unescaped quote.
+    """
+    value = F.regexp_replace("value", r'^\{(?=")', "")
+    ended = F.regexp_replace(value, r'(?<!\\)((?:\\\\)*)"\s*\}\s*$', '$1"')
+    # A brace right behind the quote that opens the text belongs to the text.
+    body = F.when(value.rlike(r'^"?(?:[^"\\]|\\.)*": "\s*\}\s*$'), value).otherwise(ended)
+    opened = F.when(F.col("body").startswith('"'), F.col("body")).otherwise(F.concat(F.lit('"'), "body"))
+    # Closed are texts that end in an unescaped quote which is not the one that opens an empty text.
+    closed = F.col("piece").rlike(r'(?<!\\)(?:\\\\)*"$') & ~F.col("piece").rlike(r'^"(?:[^"\\]|\\.)*": "$')
+    piece = F.when(closed, F.col("piece")).otherwise(F.concat("piece", F.lit('"')))
+    rows = _pieces(spark, path, cut).select(body.alias("body")).filter(~F.col("body").isin("", "{}"))
+    return rows.select(opened.alias("piece")).select(piece.alias("piece"))
 
 
 def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") -> DataFrame:
@@ -75,12 +96,8 @@ def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") ->
 
 def scan_records_json(spark: SparkSession, path: str, layout: str = "entries") -> DataFrame:
     """An object ``{id: text}`` as ``(record_id, text)``, cut at entry ends."""
-    piece = _entries(spark, path, RECORD_CUTS[layout])
-    if layout == "compact":
-        # The cut takes the quotes around it.
-        opened = F.when(F.col("piece").startswith('"'), F.col("piece")).otherwise(F.concat(F.lit('"'), "piece"))
-        quoted = F.when(F.col("_open").rlike(r'[^\\](\\\\)*"$'), F.col("_open")).otherwise(F.concat("_open", F.lit('"')))
-        piece = piece.select(opened.alias("_open")).select(quoted.alias("piece"))
+    read = _text_entries if layout == "compact" else _entries
+    piece = read(spark, path, RECORD_CUTS[layout])
     parsed = F.from_json(F.concat(F.lit("{"), "piece", F.lit("}")), "map<string,string>")
     return piece.select(F.explode(parsed).alias("record_id", "text"))
 

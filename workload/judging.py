@@ -37,11 +37,11 @@ def judge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A judge that fails on any batch holding a key divisible by 13: such questions stay without a response, all
+    """A judge that fails on any batch holding a key divisible by 997: such questions stay without a response, all
     others get theirs."""
 
     def shaky(questions):
-        if any((int(a) + int(b)) % 13 == 0 for a, b in zip(questions["d1_id"], questions["d2_id"])):
+        if any((int(a) + int(b)) % 997 == 0 for a, b in zip(questions["d1_id"], questions["d2_id"])):
             raise TimeoutError("no answer")
         return formula_judge(questions)
 
@@ -170,7 +170,7 @@ CASE WHEN status = 'VALID' THEN CASE WHEN result IS NULL THEN 'no' ELSE 'yes' EN
     "judge_retry": (
         judge_retry,
         f"""WITH {LINE_PAIRS_SQL} SELECT d1_id::VARCHAR AS d1_id, d2_id::VARCHAR AS d2_id,
-CASE WHEN (d1_id + d2_id) % 13 = 0 OR (d1_id + d2_id) % 7 = 0 THEN NULL
+CASE WHEN (d1_id + d2_id) % 997 = 0 OR (d1_id + d2_id) % 7 = 0 THEN NULL
 ELSE ['Yes.', 'No, they differ', 'It depends'][(d1_id + d2_id) % 3 + 1] END AS response FROM line_pairs""",
     ),
     "match_pairs": (
