@@ -101,7 +101,7 @@ def by_prompt(q: pd.DataFrame):
     """Accepts ids below 50, prefers the smaller id, selects what the d1 says."""
     if "a_id" in q:
         return ["Record A" if a < b else "Record B" for a, b in zip(q["a_id"], q["b_id"])]
-    if "ids" in q:
+    if "d2_id" not in q:
         return [{"none": "[0]", "second": "The answer is [2]", "wild": "[9]"}.get(d, "1") for d in q["d1_id"]]
     return ["yes" if int(d) < 50 else "no" for d in q["d2_id"]]
 
@@ -120,6 +120,25 @@ def test_select_cascade(spark):
     }
 
 
+def test_a_long_list_leaves_the_prompt_of_the_whole(spark):
+    from twinlink.functions.prompts import build_prompt
+    from twinlink.functions.text import truncate_tokens
+
+    ids = [str(i) for i in range(700)]
+    ordered = pairs(spark, {"a": ids}).withColumnRenamed("pos", "slot")
+    whole = spark.createDataFrame([("ta", [f"t{i}" for i in ids])], "record string, candidates array<string>")
+    want = whole.select(truncate_tokens(build_prompt("SELECTING_PROMPT", "record", "candidates"), 310)).first()[0]
+    row = J._selecting_questions(ordered, 310).select("*", truncate_tokens("full_prompt", 310).alias("prompt")).first()
+    assert row.prompt == want and row.n_candidates == 700
+    assert row.full_prompt.count("[") == 312 + 100
+
+
+def test_long_lists_take_several_log_rows(spark, monkeypatch):
+    monkeypatch.setattr(J, "LIST_ROWS", 2)
+    got = J.compare_pick(pairs(spark, {"a": list("edcba")}), pairwise(lambda d, a, b: "Record B"), "COMPARING_PROMPT", OPTIONS)
+    assert sorted((r.d2_candidates_id, r.result) for r in got.collect()) == [(["a"], None), (["c", "b"], None), (["e", "d"], "e")]
+
+
 def test_a_failing_question_costs_only_itself():
     calls = []
 

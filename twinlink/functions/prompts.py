@@ -82,11 +82,16 @@ def comparing_prompt(record: Column | str, candidates: Column | str, prompt_type
     return _exactly(2, candidates, _fill(prompt_type, values))
 
 
-def selecting_prompt(record: Column | str, candidates: Column | str) -> Column:
-    """The record followed by its candidates, numbered from 1."""
-    lines = F.transform(
-        _col(candidates), lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c, F.lit("\n"))
-    )
+def selecting_prompt(record: Column | str, candidates: Column | str, numbers: Column | str | None = None) -> Column:
+    """The record followed by its candidates, numbered from 1 or by the array ``numbers``."""
+
+    def line(text: Column, number: Column) -> Column:
+        return F.concat(F.lit("["), number.cast("string"), F.lit("] "), text, F.lit("\n"))
+
+    if numbers is None:
+        lines = F.transform(_col(candidates), lambda c, i: line(c, i + 1))
+    else:
+        lines = F.zip_with(_col(candidates), _col(numbers), line)
     return F.concat(_fill("SELECTING_PROMPT", [_col(record)]), F.array_join(lines, ""), F.lit(SELECTING_END))
 
 

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlink.functions.parse import parse
-from twinlink.functions.prompts import build_prompt, prompt_group
-from twinlink.functions.text import truncate_tokens
-from twinlink.operators.rank import rank_within
+from twinlink.functions.prompts import build_prompt, prompt_group, selecting_prompt
+from twinlink.functions.text import TAIL_TOKENS, truncate_tokens
+from twinlink.operators.rank import LIST_ROWS, rank_within
 from twinlink.operators.registry import check_prompt_mode
 from twinlink.schema import COMPARING, MATCHING, REASONING_MODEL, SELECTING, VALID
 from twinlink.session import materialise
@@ -93,17 +93,18 @@ class Asker:
 
     def __init__(self, judge: Judge, prompt_type: str, options: Options):
         self.judge, self.options = judge, options
-        prompt = build_prompt(prompt_type, "record", "candidates")
-        self.asked = [
-            F.size("candidates").alias("n_candidates"),
-            truncate_tokens("full_prompt", options.max_tokens).alias("prompt"),
-        ]
-        self.full_prompt = prompt.alias("full_prompt")
+        self.full_prompt = build_prompt(prompt_type, "record", "candidates").alias("full_prompt")
+        self.prompt = truncate_tokens("full_prompt", options.max_tokens).alias("prompt")
+        self.size = F.size("candidates").alias("n_candidates")
         self.parsed = parse(prompt_type, "response", "n_candidates", **options.flags)
 
     def __call__(self, questions: DataFrame) -> DataFrame:
         keys = [c for c in questions.columns if c not in ("record", "candidates")]
-        asked = questions.select(*keys, "candidates", self.full_prompt).select(*keys, *self.asked)
+        return self.send(questions.select(*keys, self.size, self.full_prompt), keys)
+
+    def send(self, written: DataFrame, keys: list[str]) -> DataFrame:
+        """Ask what is written out in ``full_prompt``, about ``n_candidates`` candidates."""
+        asked = written.select(*keys, "n_candidates", self.prompt)
         responses = judge_retry(asked, self.judge, self.options)
         return responses.withColumn("parsed", self.parsed).select(*keys, "parsed.status", "parsed.answer")
 
@@ -222,28 +223,56 @@ def score_sort(pairs: DataFrame, score: str) -> DataFrame:
     return ranked.withColumn("slot", F.col("rank") - 1).drop("rank")
 
 
-def _listed(ordered: DataFrame) -> DataFrame:
-    """Ordered rows as one list per d1, as the result log holds them."""
-    rows = F.array_sort(F.collect_list(F.struct("slot", "d2_id", "d2_text")))
-    return (
-        ordered.groupBy("d1_id")
-        .agg(
-            F.first("d1_text").alias("d1_text"),
-            F.max_by("status", -F.col("slot")).alias("status"),
-            rows.alias("rows"),
-        )
-        .select(
-            "d1_id", "d1_text", "status", F.col("rows.d2_id").alias("ids"), F.col("rows.d2_text").alias("texts")
-        )
+def _log_lists(outcomes: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Outcomes ``(d1_id, result, status)`` with their ordered candidates, as the result log holds them.
+
+    A list longer than ``LIST_ROWS`` goes on in further rows of the same d1, which assert nothing; neither resuming
+    nor the metrics see a difference.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("slot", "d2_id")))
+    lists = (
+        ordered.withColumn("part", F.floor(F.col("slot") / LIST_ROWS))
+        .groupBy("d1_id", "part")
+        .agg(rows.alias("rows"))
+        .select("d1_id", "part", F.col("rows.d2_id").alias("ids"))
+    )
+    first = F.coalesce(F.col("part") == 0, F.lit(True))
+    return outcomes.join(lists, "d1_id", "left").select(
+        "d1_id",
+        F.coalesce("ids", F.array().cast(lists.schema["ids"].dataType)).alias("d2_candidates_id"),
+        F.when(first, F.col("result")).alias("result"),
+        "status",
     )
 
 
 def compare_pick(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
     """Log rows of the comparing mode: the whole order, its first element as the result."""
     check_prompt_mode(COMPARING, prompt_type)
-    lists = _listed(compare_sort(pairs, judge, prompt_type, options))
-    rows = lists.select("d1_id", F.col("ids").alias("d2_candidates_id"), F.col("ids")[0].alias("result"), "status")
-    return log_rows(rows, prompt_type, options)
+    ordered = compare_sort(pairs, judge, prompt_type, options)
+    best = ordered.filter("slot = 0").select("d1_id", F.col("d2_id").alias("result"), "status")
+    return log_rows(_log_lists(best, ordered), prompt_type, options)
+
+
+def _selecting_questions(ordered: DataFrame, max_tokens: int) -> DataFrame:
+    """One prompt per d1 over its sorted candidates.
+
+    Truncation keeps fewer than ``max_tokens`` tokens at the start and ``TAIL_TOKENS`` at the end, and every line has
+    a token. Of a longer list the lines between are therefore left out before they are gathered: the truncated
+    prompt is the same, and no row grows with the list.
+    """
+    sizes = ordered.groupBy("d1_id").agg(F.count("*").cast("int").alias("n_candidates"))
+    seen = (F.col("slot") < max_tokens) | (F.col("slot") >= F.col("n_candidates") - TAIL_TOKENS)
+    rows = F.array_sort(F.collect_list(F.struct("slot", "d2_text")))
+    lists = (
+        ordered.join(sizes, "d1_id")
+        .filter(seen)
+        .groupBy("d1_id", "n_candidates")
+        .agg(F.first("d1_text").alias("record"), rows.alias("rows"))
+    )
+    numbers = F.transform("rows.slot", lambda s: s + 1)
+    return lists.select(
+        "d1_id", "n_candidates", selecting_prompt("record", "rows.d2_text", numbers).alias("full_prompt")
+    )
 
 
 def select_cascade(
@@ -260,23 +289,21 @@ def select_cascade(
     from the sorted list, where 0 means none of them. A d1 without an accepted candidate is answered without asking.
     """
     check_prompt_mode(SELECTING, prompt_type)
+    select = Asker(judge, prompt_type, options)
     answers = match_answers(pairs, judge, matching, options).filter(F.col("answer") == "yes")
     accepted = materialise(pairs.join(answers.select("d1_id", "pos", "d2_id"), ["d1_id", "pos", "d2_id"], "left_semi"))
-    lists = _listed(compare_sort(accepted, judge, comparing, options))
-    questions = lists.select("d1_id", "ids", F.col("d1_text").alias("record"), F.col("texts").alias("candidates"))
-    chosen = materialise(judge_batch(questions, judge, prompt_type, options))
+    ordered = compare_sort(accepted, judge, comparing, options)
+    chosen = materialise(select.send(_selecting_questions(ordered, options.max_tokens), ["d1_id"]))
     number = F.when(F.col("status") == VALID, F.col("answer").cast("int"))
-    picked = chosen.select(
-        "d1_id", "ids", F.when(number >= 1, F.get("ids", number - 1)).alias("result"), "status"
-    )
-    everyone = pairs.select("d1_id").distinct()
-    rows = everyone.join(picked, "d1_id", "left").select(
-        "d1_id",
-        F.coalesce("ids", F.array().cast(picked.schema["ids"].dataType)).alias("d2_candidates_id"),
-        "result",
-        F.coalesce("status", F.lit(VALID)).alias("status"),
+    picked = chosen.withColumn("slot", number - 1).join(
+        ordered.select("d1_id", "slot", F.col("d2_id").alias("result")), ["d1_id", "slot"], "left"
     )
-    return log_rows(rows, prompt_type, options)
+    outcomes = (
+        pairs.select("d1_id").distinct()
+        .join(picked.select("d1_id", "result", "status"), "d1_id", "left")
+        .withColumn("status", F.coalesce("status", F.lit(VALID)))
+    )
+    return log_rows(_log_lists(outcomes, ordered), prompt_type, options)
 
 
 def run_mode(mode: str, pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:

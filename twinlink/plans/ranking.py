@@ -37,15 +37,13 @@ def experiment_scores(
     ``embeddings`` is ``(source, side, record_id, embeddings, model)`` with the data set as ``source`` and d1 or d2
     as ``side``; ``task_embeddings`` is the task table with a ``source`` column.
     """
-    wanted = F.broadcast(grid)
-
     def side(name: str, vec: str) -> DataFrame:
         rows = embeddings.filter(F.col("side") == name)
         return rows.select(
             F.col("source").alias("dataset"), "model", F.col("record_id").alias(f"{name}_id"), F.col("embeddings").alias(vec)
         )
 
-    plain_models = wanted.filter(~F.col("use_task")).select("dataset", "model").distinct()
+    plain_models = grid.filter(~F.col("use_task")).select("dataset", "model").distinct()
     plain = (
         pairs.join(side("d1", "_v1").join(plain_models, ["dataset", "model"], "left_semi"), ["dataset", "d1_id"])
         .join(side("d2", "_v2"), ["dataset", "model", "d2_id"])
@@ -62,7 +60,7 @@ def experiment_scores(
         )
         task = pairs.join(d2, ["dataset", "d1_id", "d2_id"]).join(d1, ["dataset", "model", "d1_id"])
         scored = scored.unionByName(_both_metrics(task.withColumn("use_task", F.lit(True))))
-    return scored.join(wanted, EXPERIMENT, "left_semi")
+    return scored.join(grid, EXPERIMENT, "left_semi")
 
 
 def experiment_grid(scored: DataFrame, gt: DataFrame, top_k: int = 5) -> DataFrame:

@@ -16,6 +16,8 @@ def build_session(app_name: str = "twinlink", master: str | None = None, **conf:
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A skewed join is split even where that costs another shuffle further up.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -43,8 +45,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/twinlink/{uuid.uuid4().hex}/{name}"
+    """A new, unused path below this application's part of the shared folder."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/twinlink/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the stage tables of this application, once no frame reads them any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

@@ -86,12 +86,22 @@ def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") ->
     pieces = _entries(spark, path, PAIR_CUTS[layout])
     closed = F.when(F.col("piece").endswith("]"), F.col("piece")).otherwise(F.concat("piece", F.lit("]")))
     parsed = F.from_json(F.concat(F.lit("{"), closed, F.lit("}")), "map<string,array<string>>")
-    lists = pieces.select(F.explode(parsed).alias("d1_id", "d2_ids"), ROW_POS).withColumn("start", F.lit(0))
+    lists = pieces.select(F.explode(parsed).alias("d1_id", "d2_ids"), ROW_POS)
     if layout == "entries":
-        earlier = Window.partitionBy("d1_id").orderBy(ROW_POS).rowsBetween(Window.unboundedPreceding, -1)
-        lists = lists.withColumn("start", F.coalesce(F.sum(F.size("d2_ids")).over(earlier), F.lit(0)))
+        lists = lists.join(_later_starts(lists), ["d1_id", ROW_POS], "left")
+    else:
+        lists = lists.withColumn("start", F.lit(0))
     rows = lists.select("d1_id", "start", F.posexplode("d2_ids").alias("at", "d2_id"))
-    return rows.select("d1_id", (F.col("start") + F.col("at")).cast("long").alias("pos"), "d2_id")
+    return rows.select("d1_id", (F.coalesce("start", F.lit(0)) + F.col("at")).cast("long").alias("pos"), "d2_id")
+
+
+def _later_starts(lists: DataFrame) -> DataFrame:
+    """Where the entries of a d1 with several of them start; only their sizes are ordered."""
+    sizes = lists.select("d1_id", ROW_POS, F.size("d2_ids").alias("n"))
+    several = sizes.groupBy("d1_id").agg(F.count("*").alias("entries")).filter("entries > 1").select("d1_id")
+    earlier = Window.partitionBy("d1_id").orderBy(ROW_POS).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.join(several, "d1_id", "left_semi").withColumn("start", F.sum("n").over(earlier))
+    return starts.select("d1_id", ROW_POS, "start")
 
 
 def scan_records_json(spark: SparkSession, path: str, layout: str = "entries") -> DataFrame:

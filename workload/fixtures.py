@@ -226,9 +226,8 @@ def formula_judge(questions: pd.DataFrame) -> list[str | None]:
         for d1, a, b in zip(questions["d1_id"], questions["a_id"], questions["b_id"]):
             key_a, key_b = (int(d1) * 7 + int(a) * 13) % 101, (int(d1) * 7 + int(b) * 13) % 101
             out.append("The answer is: Record A." if key_a > key_b else "Record B")
-    elif "ids" in questions:
-        for d1, listed in zip(questions["d1_id"], questions["ids"]):
-            n = len(listed)
+    elif "d2_id" not in questions:
+        for d1, n in zip(questions["d1_id"], questions["n_candidates"]):
             out.append("[99999]" if int(d1) % 11 == 0 else f"The answer is: [{(int(d1) * 5 + 3) % (n + 1)}]")
     else:
         for d1, d2 in zip(questions["d1_id"], questions["d2_id"]):
