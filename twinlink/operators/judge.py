@@ -180,7 +180,8 @@ def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Opti
     out = done[0].select(*columns)
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.drop("n")
+    # One table instead of one per list length, for whoever reads the order more than once.
+    return materialise(out.drop("n"))
 
 
 class _Round:
