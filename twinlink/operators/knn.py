@@ -35,8 +35,8 @@ MAX_BLOCK_ROWS = 2048
 MAX_PIVOTS = 512
 # Blocks that share one shuffle key; bounds the rows that meet under a key.
 KEY_FANOUT = 64
-# Allowance for rounding in |x|^2 + |y|^2 - 2xy and in the triangle bounds.
-SLACK = 1e-9
+# Allowance for rounding in the bounds on cells, relative to the length of the vectors.
+SLACK = 1e-6
 WORK_BYTES = 32 << 20
 
 
@@ -92,17 +92,36 @@ def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None)
     )
 
 
+def _screen(q: np.ndarray, x: np.ndarray, k: int) -> tuple:
+    """Row and column of every pair that may be among the ``k`` nearest of its row.
+
+    In single precision, by |x|^2 - 2xy, which orders a row as the distance does. The k-th smallest of the minima of
+    column groups bounds the k-th smallest value from above at a fraction of the cost of selecting it; the allowance
+    covers the rounding of a product of that length.
+    """
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    x2 = (x * x).sum(axis=1)
+    value = q32 @ x32.T
+    value *= np.float32(-2.0)
+    value += x2.astype(np.float32)[None, :]
+    groups = np.arange(0, x.shape[0], max(1, x.shape[0] // max(64, 4 * k)))
+    minima = np.minimum.reduceat(value, groups, axis=1)
+    if minima.shape[1] < k:
+        minima = value
+    bound = np.partition(minima, k - 1, axis=1)[:, k - 1]
+    scale = np.sqrt((q * q).sum(axis=1) * x2.max()) + x2.max() + np.finfo(np.float32).tiny
+    allowance = 4.0 * (q.shape[1] + 8) * np.finfo(np.float32).eps * scale
+    return np.nonzero(value <= (bound + allowance).astype(np.float32)[:, None])
+
+
 def _block_top_k(q: np.ndarray, x: np.ndarray, x_order: np.ndarray, k: int) -> tuple:
     """Row, column and squared distance of the ``k`` nearest rows of ``x`` for every row of ``q``.
 
-    The matrix product only screens; what passes is measured again by differences, so that the distance of a pair
-    does not depend on the block it met in. ``x_order`` breaks ties.
+    What passes the screen is measured by differences in double precision, so that the distance of a pair does not
+    depend on the block it met in. ``x_order`` breaks ties.
     """
-    q2, x2 = (q * q).sum(axis=1), (x * x).sum(axis=1)
-    approx = q2[:, None] + x2[None, :] - 2.0 * (q @ x.T)
     k = min(k, x.shape[0])
-    kth = np.partition(approx, k - 1, axis=1)[:, k - 1]
-    rows, cols = np.nonzero(approx <= (kth + SLACK * (1.0 + q2 + x2.max()))[:, None])
+    rows, cols = _screen(q, x, k)
     exact = np.empty(len(rows))
     step = max(1, WORK_BYTES // (8 * q.shape[1]))
     for at in range(0, len(rows), step):
@@ -254,7 +273,7 @@ def _pivoted(
     first = _score_blocks(_meet(q_blocks, x_blocks, keys.join(home_df, "q_cell"), q_layout, 0), k)
     first = materialise(_best(first, k).drop("rank"))
 
-    # Per query the k-th distance so far; a cell farther than that, less its radius, cannot matter.
+    # Per query the k-th distance so far; a cell that lies farther away cannot matter.
     kth = first.groupBy("q_cell", "q_block", "q_id").agg(F.max("sq_dist").alias("kth"))
     bounds = kth.groupBy("q_cell", "q_block").agg(
         F.array_sort(F.collect_list(F.struct("q_id", "kth"))).alias("rows")
@@ -262,14 +281,22 @@ def _pivoted(
     cells = np.array(sorted(sizes))
     radius = np.array([sizes[c].r for c in cells])
     centres = pivots[cells]
+    largest = np.sqrt((pivots * pivots).sum(axis=1).max())
 
     @F.arrow_udf("array<int>")
     def remaining(q_cell: pa.Array, vecs: pa.Array, reach: pa.Array) -> pa.Array:
         out = []
         for c, v, b in zip(q_cell.to_pylist(), vecs, reach):
             b = np.sqrt(np.asarray(b.values, dtype=np.float64))
-            gaps = _distances(np.asarray(v.values, dtype=np.float64).reshape(len(b), -1), centres)
-            needed = (gaps - radius[None, :] <= b[:, None] + SLACK * (1.0 + gaps)).any(axis=0)
+            q = np.asarray(v.values, dtype=np.float64).reshape(len(b), -1)
+            gaps, own = _distances(q, centres), _distances(q, pivots[c : c + 1])
+            # A member of a cell is nearer to that cell's pivot than to this one, hence beyond the plane between them.
+            # Pivots that nearly coincide give no usable plane.
+            size = np.sqrt((q * q).sum(axis=1).max()) + largest
+            apart = between[c, cells]
+            plane = (gaps**2 - own**2) / np.where(apart > 1e-3 * size, 2.0 * apart, np.inf)
+            nearest = np.maximum(gaps - radius, plane)
+            needed = (nearest <= b[:, None] + SLACK * size).any(axis=0)
             out.append([int(j) for j in cells[needed] if j not in home[c]])
         return pa.array(out, type=pa.list_(pa.int32()))
 
