@@ -77,8 +77,17 @@ def _standardise(df: DataFrame, id_col: str, vec_col: str, metric: str) -> DataF
     return df.select(F.col(id_col).alias("id"), vec.alias("vec"))
 
 
+@F.arrow_udf(T.BinaryType())
+def _as_bytes(vecs: pa.Array) -> pa.Array:
+    return pa.array([np.asarray(v.values, dtype=np.float64).tobytes() for v in vecs], type=pa.binary())
+
+
+def _as_rows(vecs: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(vecs.as_buffer(), dtype=np.float64).reshape(n, -1)
+
+
 def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None) -> DataFrame:
-    """One row per block: its cell and number, its ids in order, and their vectors as one flat array."""
+    """One row per block: its cell and number, its ids in order, and their vectors as one run of bytes."""
     if cell_blocks is None:
         df = df.withColumns({"cell": F.lit(0), "blocks": F.lit(layout.blocks)})
     else:
@@ -88,56 +97,68 @@ def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None)
         df.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .groupBy("cell", "block")
         .agg(rows.alias("rows"))
-        .select("cell", "block", F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vecs"))
+        .select("cell", "block", F.col("rows.id").alias("ids"), _as_bytes(F.flatten("rows.vec")).alias("vecs"))
     )
 
 
-def _screen(q: np.ndarray, x: np.ndarray, k: int) -> tuple:
-    """Row and column of every pair that may be among the ``k`` nearest of its row.
+def _screen(q: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray) -> tuple:
+    """Row and column of every pair that may be among the ``k`` nearest of its row and within the row's ``limit``.
 
     In single precision, by |x|^2 - 2xy, which orders a row as the distance does. The k-th smallest of the minima of
     column groups bounds the k-th smallest value from above at a fraction of the cost of selecting it; the allowance
     covers the rounding of a product of that length.
     """
-    q32, x32 = q.astype(np.float32), x.astype(np.float32)
-    x2 = (x * x).sum(axis=1)
-    value = q32 @ x32.T
+    q2, x2 = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    value = q.astype(np.float32) @ x.astype(np.float32).T
     value *= np.float32(-2.0)
     value += x2.astype(np.float32)[None, :]
     groups = np.arange(0, x.shape[0], max(1, x.shape[0] // max(64, 4 * k)))
     minima = np.minimum.reduceat(value, groups, axis=1)
     if minima.shape[1] < k:
         minima = value
-    bound = np.partition(minima, k - 1, axis=1)[:, k - 1]
-    scale = np.sqrt((q * q).sum(axis=1) * x2.max()) + x2.max() + np.finfo(np.float32).tiny
+    bound = np.minimum(np.partition(minima, k - 1, axis=1)[:, k - 1], limit - q2)
+    scale = np.sqrt(q2 * x2.max()) + q2 + x2.max() + np.finfo(np.float32).tiny
     allowance = 4.0 * (q.shape[1] + 8) * np.finfo(np.float32).eps * scale
-    return np.nonzero(value <= (bound + allowance).astype(np.float32)[:, None])
-
-
-def _block_top_k(q: np.ndarray, x: np.ndarray, x_order: np.ndarray, k: int) -> tuple:
-    """Row, column and squared distance of the ``k`` nearest rows of ``x`` for every row of ``q``.
-
-    What passes the screen is measured by differences in double precision, so that the distance of a pair does not
-    depend on the block it met in. ``x_order`` breaks ties.
-    """
-    k = min(k, x.shape[0])
-    rows, cols = _screen(q, x, k)
-    exact = np.empty(len(rows))
-    step = max(1, WORK_BYTES // (8 * q.shape[1]))
-    for at in range(0, len(rows), step):
-        part = slice(at, at + step)
-        diff = q[rows[part]] - x[cols[part]]
-        exact[part] = (diff * diff).sum(axis=1)
-    order = np.lexsort((x_order[cols], exact, rows))
-    rows, cols, exact = rows[order], cols[order], exact[order]
-    first = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - first < k
-    return rows[keep], cols[keep], exact[keep]
-
-
-def _order_of(ids: pa.Array) -> np.ndarray:
-    values = ids.to_numpy(zero_copy_only=False)
-    return np.unique(values, return_inverse=True)[1]
+    return np.divmod(np.flatnonzero(value <= (bound + allowance).astype(np.float32)[:, None]), x.shape[0])
+
+
+class _Nearest:
+    """The ``k`` nearest so far for the rows of one query block."""
+
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.limit = np.full(len(q), np.inf)
+        self.rows, self.dist, self.found = np.zeros(0, dtype=np.int64), np.zeros(0), None
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        """Take in a block of the index.
+
+        What passes the screen is measured by differences in double precision, so that the distance of a pair does
+        not depend on the block it met in. Equal distances go to the smaller id.
+        """
+        rows, cols = _screen(self.q, x, min(self.k, len(x)), self.limit)
+        exact = np.empty(len(rows))
+        step = max(1, WORK_BYTES // (8 * x.shape[1]))
+        for at in range(0, len(rows), step):
+            part = slice(at, at + step)
+            diff = self.q[rows[part]] - x[cols[part]]
+            exact[part] = (diff * diff).sum(axis=1)
+        found = ids[cols] if self.found is None else np.concatenate([self.found, ids[cols]])
+        rows, dist = np.concatenate([self.rows, rows]), np.concatenate([self.dist, exact])
+        order = np.lexsort((found, dist, rows))
+        rows, dist, found = rows[order], dist[order], found[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
+        keep = place < self.k
+        self.rows, self.dist, self.found = rows[keep], dist[keep], found[keep]
+        last = place == self.k - 1
+        self.limit[rows[last]] = dist[last]
+
+
+def _comparable(ids: pa.Array) -> np.ndarray:
+    """Ids as a numpy array that sorts as Spark does."""
+    if pa.types.is_string(ids.type) or pa.types.is_large_string(ids.type):
+        return np.array(ids.to_pylist(), dtype=str)
+    return ids.to_numpy(zero_copy_only=False)
 
 
 def _score_blocks(pairs: DataFrame, k: int, both: bool = False) -> DataFrame:
@@ -147,27 +168,33 @@ def _score_blocks(pairs: DataFrame, k: int, both: bool = False) -> DataFrame:
     """
     id_type = pairs.schema["q_ids"].dataType.elementType
 
+    def emit(side: int, q_key: tuple, near: _Nearest) -> pa.RecordBatch:
+        n = len(near.rows)
+        q_ids, x_ids = near.ids.take(pa.array(near.rows)), pa.array(near.found).cast(near.ids.type)
+        marks = [pa.array(np.full(n, m, dtype=np.int32)) for m in (side, *q_key)]
+        names = ["side", "q_cell", "q_block", "q_id", "x_id", "sq_dist"]
+        return pa.RecordBatch.from_arrays([*marks, q_ids, x_ids, pa.array(near.dist)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of one query block follow each other, so that their best are merged before they leave.
+        at, near = None, None
         for batch in batches:
             cols = {name: batch.column(name) for name in batch.schema.names}
             for i in range(batch.num_rows):
+                q_key = (cols["q_cell"][i].as_py(), cols["q_block"][i].as_py())
                 q_ids, x_ids = cols["q_ids"][i].values, cols["x_ids"][i].values
-                q = np.asarray(cols["q_vecs"][i].values, dtype=np.float64).reshape(len(q_ids), -1)
-                x = np.asarray(cols["x_vecs"][i].values, dtype=np.float64).reshape(len(x_ids), -1)
-                todo = [(0, q_ids, q, x_ids, x)] + ([(1, x_ids, x, q_ids, q)] if both else [])
-                for side, a_ids, a, b_ids, b in todo:
-                    r, c, d = _block_top_k(a, b, _order_of(b_ids), k)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(r), side, dtype=np.int32)),
-                            pa.array(np.full(len(r), cols["q_cell"][i].as_py(), dtype=np.int32)),
-                            pa.array(np.full(len(r), cols["q_block"][i].as_py(), dtype=np.int32)),
-                            a_ids.take(pa.array(r)),
-                            b_ids.take(pa.array(c)),
-                            pa.array(d),
-                        ],
-                        names=["side", "q_cell", "q_block", "q_id", "x_id", "sq_dist"],
-                    )
+                x = _as_rows(cols["x_vecs"][i], len(x_ids))
+                if q_key != at:
+                    if near is not None:
+                        yield emit(0, at, near)
+                    at, near = q_key, _Nearest(q_ids, _as_rows(cols["q_vecs"][i], len(q_ids)), k)
+                near.add(_comparable(x_ids), x)
+                if both:
+                    back = _Nearest(x_ids, x, k)
+                    back.add(_comparable(q_ids), near.q)
+                    yield emit(1, q_key, back)
+        if near is not None:
+            yield emit(0, at, near)
 
     schema = T.StructType(
         [
@@ -182,27 +209,19 @@ def _score_blocks(pairs: DataFrame, k: int, both: bool = False) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def _meet(queries: DataFrame, index: DataFrame, targets: DataFrame | None, q_layout: _Layout, x_blocks: int) -> DataFrame:
-    """Block pairs to score, one per row.
+def _meet(queries: DataFrame, index: DataFrame, targets: DataFrame) -> DataFrame:
+    """Block pairs to score, one per row; ``targets`` lists ``(q_cell, q_block, x_cell, x_blocks)``.
 
-    ``targets`` lists ``(q_cell, q_block, x_cell, x_blocks)``; without it every query block meets every block of the
-    only cell. A query block is copied once per index block it has to meet, an index block once per ``KEY_FANOUT``
-    query blocks, so that no join key gathers more than a few blocks.
+    An index block is copied once per query block it has to meet, a query block once per ``KEY_FANOUT``
+    index blocks, so that no join key gathers more than these.
     """
-    salts = -(-q_layout.blocks // KEY_FANOUT)
-    q = _prefix(queries, "q")
-    if targets is None:
-        q = q.withColumns({"x_cell": F.lit(0), "x_blocks": F.lit(x_blocks)})
-    else:
-        q = q.join(targets, ["q_cell", "q_block"])
-    q = q.withColumns(
-        {
-            "x_block": F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)),
-            "salt": F.pmod(F.xxhash64("q_cell", "q_block"), F.lit(salts)).cast("int"),
-        }
-    ).drop("x_blocks")
-    x = _prefix(index, "x").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return q.join(x, ["x_cell", "x_block", "salt"])
+    group = F.floor(F.col("x_block") / KEY_FANOUT).cast("int")
+    last = F.floor((F.col("x_blocks") - 1) / KEY_FANOUT).cast("int")
+    wanted = targets.withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).drop("x_blocks")
+    x = _prefix(index, "x").join(wanted, ["x_cell", "x_block"]).withColumn("x_group", group)
+    q = _prefix(queries, "q").join(targets, ["q_cell", "q_block"])
+    q = q.withColumn("x_group", F.explode(F.sequence(F.lit(0), last))).drop("x_blocks")
+    return q.join(x, ["q_cell", "q_block", "x_cell", "x_group"])
 
 
 def _prefix(blocks: DataFrame, side: str) -> DataFrame:
@@ -270,7 +289,7 @@ def _pivoted(
     home_df = spark.createDataFrame(home_rows, "q_cell int, x_cell int, x_blocks int")
 
     keys = q_blocks.select(F.col("cell").alias("q_cell"), F.col("block").alias("q_block"))
-    first = _score_blocks(_meet(q_blocks, x_blocks, keys.join(home_df, "q_cell"), q_layout, 0), k)
+    first = _score_blocks(_meet(q_blocks, x_blocks, keys.join(home_df, "q_cell")), k)
     first = materialise(_best(first, k).drop("rank"))
 
     # Per query the k-th distance so far; a cell that lies farther away cannot matter.
@@ -288,7 +307,7 @@ def _pivoted(
         out = []
         for c, v, b in zip(q_cell.to_pylist(), vecs, reach):
             b = np.sqrt(np.asarray(b.values, dtype=np.float64))
-            q = np.asarray(v.values, dtype=np.float64).reshape(len(b), -1)
+            q = _as_rows(v, len(b))
             gaps, own = _distances(q, centres), _distances(q, pivots[c : c + 1])
             # A member of a cell is nearer to that cell's pivot than to this one, hence beyond the plane between them.
             # Pivots that nearly coincide give no usable plane.
@@ -306,7 +325,7 @@ def _pivoted(
         .select("q_cell", "q_block", F.explode(remaining("q_cell", "vecs", "rows.kth")).alias("x_cell"))
         .join(spark.createDataFrame(x_count, "x_cell int, x_blocks int"), "x_cell")
     )
-    second = _score_blocks(_meet(q_blocks, x_blocks, targets, q_layout, 0), k)
+    second = _score_blocks(_meet(q_blocks, x_blocks, targets), k)
     return _best(first.unionByName(second), k)
 
 
@@ -345,8 +364,15 @@ def knn_join(
 
 
 def _grid(q: DataFrame, x: DataFrame, q_layout: _Layout, x_layout: _Layout, k: int, both: bool) -> DataFrame:
-    pairs = _meet(_pack(q, q_layout), _pack(x, x_layout), None, q_layout, x_layout.blocks)
-    return _score_blocks(pairs, k, both)
+    """Every query block against every index block of the only cell."""
+    blocks = q.sparkSession.range(q_layout.blocks)
+    targets = blocks.select(
+        F.lit(0).alias("q_cell"),
+        F.col("id").cast("int").alias("q_block"),
+        F.lit(0).alias("x_cell"),
+        F.lit(x_layout.blocks).alias("x_blocks"),
+    )
+    return _score_blocks(_meet(_pack(q, q_layout), _pack(x, x_layout), targets), k, both)
 
 
 def reciprocal_knn(
