@@ -148,8 +148,10 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = found.select(
         F.lit("D2").alias("dataset"), F.col("d1_id").cast("string").alias("d1_id"), F.col("d2_id").cast("string").alias("d2_id"), "pos"
     )
-    gt = fx.ranking_gt(spark, sf_dir, found).select(
-        F.lit("D2").alias("dataset"), F.col("d1_id").cast("string").alias("d1_id"), F.col("d2_id").cast("string").alias("d2_id")
+    gt = materialise(
+        fx.ranking_gt(spark, sf_dir, found).select(
+            F.lit("D2").alias("dataset"), F.col("d1_id").cast("string").alias("d1_id"), F.col("d2_id").cast("string").alias("d2_id")
+        )
     )
     jobs = [("D2", model, metric, False) for model in fx.MODELS for metric in (COSINE, EUCLIDEAN)]
     jobs += [("D2", "context", metric, True) for metric in (COSINE, EUCLIDEAN)]
