@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlink.llm import simhash, substring_dedup
+from twinlink.llm import decontaminate, line_dedup, simhash, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,47 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers (from zero) of the lines of each document that an earlier line repeats up to two edits."""
+    out = line_dedup.removed_lines(table(spark, sf_dir, "documents"), edits=2, min_chars=20)
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+DECONTAMINATION_SQL = f"""WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+items AS (
+  SELECT item_id::VARCHAR AS item,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+starts AS (SELECT item, ws, unnest(range(1, greatest(len(ws) - 8, 2))) AS i FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item, list_slice(ws, i, i + 9) AS win FROM starts),
+sizes AS (SELECT DISTINCT len(win) AS m FROM windows),
+cut AS (SELECT r, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM docs, sizes),
+hits AS (SELECT r, i, m, item FROM (SELECT r, i, m, list_slice(ws, i, i + m - 1) AS win FROM cut) JOIN windows USING (win)),
+cells AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + m)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN cells USING (r) LEFT JOIN found USING (r)"""
+
+
 QUERIES = {
     "op2_substring_dedup": (op2_substring_dedup, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
+    "op9_line_dedup": (op9_line_dedup, None),
+    "op10_benchmark_decontamination": (op10_benchmark_decontamination, DECONTAMINATION_SQL),
 }
 
 
