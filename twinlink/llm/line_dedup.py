@@ -103,10 +103,12 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
         return F.transform(F.array(end), total)[0] <= edits
 
-    first, second = F.split(a, ""), F.split(b, "")
-    return (F.abs(F.length(a) - F.length(b)) <= edits) & F.when(F.length(a) >= F.length(b), walk(first, second)).otherwise(
-        walk(second, first)
-    )
+    swap = F.length(a) < F.length(b)
+    ends = F.struct(F.when(swap, b).otherwise(a).alias("x"), F.when(swap, a).otherwise(b).alias("y"))
+    # Named once, so that the characters are cut once and not for every step.
+    cut = F.transform(F.array(ends), lambda e: F.struct(F.split(e["x"], "").alias("x"), F.split(e["y"], "").alias("y")))
+    near = F.transform(cut, lambda e: walk(e["x"], e["y"]))[0]
+    return F.when(F.abs(F.length(a) - F.length(b)) <= edits, near).otherwise(F.lit(False))
 
 
 def removed_lines(

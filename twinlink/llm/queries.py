@@ -5,19 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlink.llm import decontaminate, line_dedup, simhash, substring_dedup
+from twinlink.llm import cap_filters, decontaminate, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lattice_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece_codec.load_vocabulary(pieces_file())
+    return lattice_lm.lattice_scores(table(spark, sf_dir, "documents"), vocabulary, lambda i: held_out(i, 1))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left without the 13-word windows of earlier documents; the doubling ends at the contract's length."""
     out = substring_dedup.repeated_words(table(spark, sf_dir, "documents"), min_words=13, max_words=13)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def pieces_file() -> str:
+    """The public model that the encoding and counting queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, decoded again."""
+    return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), sentencepiece_codec.load_vocabulary(pieces_file()))
+
+
+def held_out(doc_id, remainder: int):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == remainder
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), lambda i: held_out(i, 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece_codec.load_vocabulary(pieces_file())
+    return token_counts.length_histogram(token_counts.encoded_lengths(table(spark, sf_dir, "documents"), vocabulary))
+
+
+def op7_cap_filter_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), min_cosine=0.95)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -60,7 +97,12 @@ FROM docs LEFT JOIN cells USING (r) LEFT JOIN found USING (r)"""
 
 
 QUERIES = {
+    "op1_lattice_scoring": (op1_lattice_scoring, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
+    "op4_sentencepiece": (op4_sentencepiece, None),
+    "op5_toxicity": (op5_toxicity, None),
+    "op6_token_counts": (op6_token_counts, None),
+    "op7_cap_filter_near_dedup": (op7_cap_filter_near_dedup, None),
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, DECONTAMINATION_SQL),

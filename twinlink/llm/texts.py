@@ -63,6 +63,22 @@ class Words:
         """64 bits for each word: a sum of random numbers by byte and place, then mixed."""
         if not len(self.starts):
             return np.empty(0, dtype=np.uint64)
+        return mix(np.add.reduceat(self._values(), self.starts - self.starts[0]))
+
+    def prefix_hashes(self, lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length which words are longer in bytes, and 64 bits for the beginning of that length of each."""
+        if not len(self.starts):
+            return [(np.empty(0, dtype=bool), np.empty(0, dtype=np.uint64)) for _ in lengths]
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(self._values(), dtype=np.uint64)])
+        first = self.starts - self.starts[0]
+        sizes, out = self.ends - self.starts, []
+        for n in lengths:
+            part = sums[first + np.minimum(n, sizes)] - sums[first]
+            out.append((sizes > n, mix(part + np.uint64(n * 0x9E3779B97F4A7C15 % 2**64))))
+        return out
+
+    def _values(self) -> np.ndarray:
+        """From the first word on, a random number for each byte and its place in its word; blanks are zero."""
         first = self.starts[0]
         longest = int((self.ends - self.starts).max())
         by_byte, by_place = _tables(longest)
@@ -71,7 +87,7 @@ class Words:
         place = np.arange(first, len(self.data), dtype=np.int64) - np.repeat(self.starts, spans)
         values = by_byte[buffer]
         values *= by_place[np.minimum(place, longest, out=place)]
-        return mix(np.add.reduceat(values, self.starts - first))
+        return values
 
 
 def _tables(longest: int) -> tuple[np.ndarray, np.ndarray]:
