@@ -237,10 +237,10 @@ def lattice_scores(
     choice = best[0]["g"] if best else 3
     alpha = CONCENTRATIONS[choice]
     rare = scanned.select("row", F.inline("rare")).join(counts.where(F.col("c") < least).select("word", "c", "lat"), "word", "left")
-    summed = rare.mapInArrow(_rare(vocabulary, weights, prior), "row long, logs double, bends double, base double, known long").groupBy("row")
-    summed = summed.agg(*[F.sum(c).alias(f"r_{c}") for c in ("logs", "bends", "base", "known")])
+    summed = rare.mapInArrow(_rare(vocabulary, weights, prior, alpha), "row long, logs double, base double, known long").groupBy("row")
+    summed = summed.agg(*[F.sum(c).alias(f"r_{c}") for c in ("logs", "base", "known")])
     zero = lambda c: F.coalesce(c, F.lit(0))
-    log_score = F.get("fits", F.lit(choice)) + zero("r_logs") + alpha * zero("r_bends")
+    log_score = F.get("fits", F.lit(choice)) + zero("r_logs")
     return scanned.drop("others").join(summed, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + zero("r_known")).alias("n_known"),
         F.lit(prior.tokens).cast("long").alias("train_tokens"), (F.col("base") + zero("r_base")).alias("base_score"),
@@ -298,9 +298,8 @@ def _scan(shared):
     return run
 
 
-def _rare(vocabulary: Vocabulary, weights: np.ndarray, prior: _Prior):
-    """What each rare word of a text adds. Its prior is so small that log(a * (a + 1) ... ), with a the concentration
-    times the prior, is log(a) + log((times - 1)!) + a * (1 + 1/2 ... ) up to terms in a squared."""
+def _rare(vocabulary: Vocabulary, weights: np.ndarray, prior: _Prior, alpha: float):
+    """What each rare word of a text adds under the chosen concentration, whose logarithm the scan has added already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary, weights)
@@ -314,14 +313,12 @@ def _rare(vocabulary: Vocabulary, weights: np.ndarray, prior: _Prior):
                     last = (word, lattice.word(word))
                 logs[i] = last[1]
             times = batch.column("times").to_numpy(zero_copy_only=False).astype(np.float64)
-            p = prior.p(counts, logs)
-            harmonic = np.where(times > 1, np.log(np.maximum(times - 1, 1)) + 0.57721566 + 0.5 / np.maximum(times - 1, 1) - 1 / (12 * np.maximum(times - 1, 1) ** 2), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), pa.array(np.log(p) + np.where(times > 1, _lgamma(times), 0.0)), pa.array(p * harmonic),
+                    batch.column("row"), pa.array(_rising(alpha * prior.p(counts, logs), times) - math.log(alpha)),
                     pa.array(times * np.log10((counts + 0.5) / prior.base)), pa.array(np.where(counts > 0, times, 0).astype(np.int64)),
                 ],
-                ["row", "logs", "bends", "base", "known"],
+                ["row", "logs", "base", "known"],
             )
 
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlink.llm import cap_filters, decontaminate, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity
+from twinlink.llm import cap_filters, decontaminate, html_text, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    out = html_text.main_text(pages, html_text.fit(pages))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def pieces_file() -> str:
     """The public model that the encoding and counting queries use."""
     import public_tokenizers
@@ -99,6 +105,7 @@ FROM docs LEFT JOIN cells USING (r) LEFT JOIN found USING (r)"""
 QUERIES = {
     "op1_lattice_scoring": (op1_lattice_scoring, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
+    "op3_html_extraction": (op3_html_extraction, None),
     "op4_sentencepiece": (op4_sentencepiece, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_token_counts": (op6_token_counts, None),

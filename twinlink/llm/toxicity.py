@@ -210,3 +210,16 @@ def learn(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id",
     marks = marks.where(~held_out(F.col("id")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return fit(rows.join(marks, "id"), "text", "toxic", "id")
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text scores below ``threshold``; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.lower() for t in raw_texts(batch.column(text_col))]
+            parts = [shared.value.scores(texts[lo:hi]) for lo, hi in packs(texts, PACK_BYTES)]
+            yield batch.filter(pa.array(np.concatenate([*parts, np.empty(0)]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
