@@ -15,7 +15,7 @@ from twinlink.llm.texts import Words, mix, packs, raw_texts
 from twinlink.session import materialise
 
 #: Labelled documents of each class that the models are made of, and bytes of text tokenised at once.
-MAX_ROWS = 3000
+MAX_ROWS = 2500
 PACK_BYTES = 1 << 21
 #: Absolute discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
@@ -127,38 +127,50 @@ def _counted(sample: DataFrame) -> Model:
     counts = counts.agg(
         F.min("p").alias("p"), F.min("k").alias("k"), *[F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
     )
-    return _model(counts.toPandas())
+    counts = materialise(counts)
+    # What follows a unit: documents and different next units of each class, and different ones at all.
+    after = counts.groupBy(F.col("p").alias("u")).agg(
+        *[F.sum(f"n{c}").alias(f"total{c}") for c in (0, 1)], *[F.count_if(F.col(f"n{c}") > 0).alias(f"kinds{c}") for c in (0, 1)], F.count("*").alias("kinds")
+    )
+    after = materialise(after)
+    root = after.where("u = 0").first()
+    if root is None:
+        return _empty(0.0)
+    # A unit of one document tells as much as an unknown one; its context has at least its documents and stays.
+    often = counts.where(F.col("n0") + F.col("n1") > 1).join(after, "u", "left").na.fill(0)
+    return _model(often.select("u", "p", "k", "n0", "n1", *AFTER).toPandas(), [float(root[c]) for c in AFTER])
+
 
+AFTER = ("total0", "total1", "kinds0", "kinds1", "kinds")
 
-def _model(rows: pd.DataFrame) -> Model:
+
+def _model(rows: pd.DataFrame, root: list[float]) -> Model:
     """Walks down the spellings: P(unit | context) of a class discounts its counts and gives what it takes away to the
     distribution that both classes share, so a unit that is rare in both says little."""
-    if not len(rows):
-        return _empty(0.0)
     units = rows["u"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(units)
     units, context, step = units[order], rows["p"].to_numpy(dtype=np.int64).view(np.uint64)[order], rows["k"].to_numpy()[order]
-    counts = np.stack([rows[f"n{c}"].to_numpy(dtype=np.float64)[order] for c in (0, 1)])
+    counts = [rows[f"n{c}"].to_numpy(dtype=np.float64)[order] for c in (0, 1)]
+    after = {c: np.append(rows[c].to_numpy(dtype=np.float64)[order], top) for c, top in zip(AFTER, root)}
+    del rows
     top = context == 0
-    parent = np.where(top, len(units), np.minimum(np.searchsorted(units, context), len(units) - 1))
-    size = len(units) + 1
-    total = np.stack([np.bincount(parent, n, size) for n in counts])
-    kinds = np.stack([np.bincount(parent, n > 0, size) for n in counts])
-    both, shared_total = counts.sum(axis=0), np.maximum(total.sum(axis=0), 1.0)
-    shared_kinds = np.bincount(parent, minlength=size)
-    shared = (np.maximum(both - DISCOUNT, 0) + DISCOUNT * shared_kinds[parent] / (shared_kinds[parent] + 1.0)) / shared_total[parent]
-    gain, left = np.zeros(len(units)), np.zeros(size)
+    parent = np.where(top, len(units), np.minimum(np.searchsorted(units, context), max(len(units) - 1, 0)))
+    both = np.maximum(after["total0"] + after["total1"], 1.0)
+    shared = (counts[0] + counts[1] - DISCOUNT + DISCOUNT * after["kinds"][parent] / (after["kinds"][parent] + 1.0)) / both[parent]
+    gain, left = np.zeros(len(units)), np.zeros(len(units) + 1)
     for c, sign in ((0, -1.0), (1, 1.0)):
-        weight = np.where(total[c] > 0, DISCOUNT * kinds[c] / np.maximum(total[c], 1.0), 1.0)
-        own = np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(total[c][parent], 1.0)
+        total = after[f"total{c}"]
+        weight = np.where(total > 0, DISCOUNT * after[f"kinds{c}"] / np.maximum(total, 1.0), 1.0)
+        own = np.maximum(counts[c] - DISCOUNT, 0) / np.maximum(total[parent], 1.0)
         gain += sign * np.log(own + weight[parent] * shared)
         left += sign * np.log(weight)
-    known = np.zeros(size)
+    known = np.zeros(len(units) + 1)
     for k in range(len(STEPS) + 1):
         own = np.flatnonzero(step == k)
         known[own] = gain[own] + np.where(top[own], 0.0, known[parent[own]])
     known, novel = known[:-1], known[:-1] + left[:-1]
-    return Model(units, np.where(np.abs(known) < EVIDENCE, 0.0, known), np.where(np.abs(novel) < EVIDENCE, 0.0, novel))
+    strong = lambda x: np.where(np.abs(x) < EVIDENCE, 0.0, x).astype(np.float32)
+    return Model(units, strong(known), strong(novel))
 
 
 def _ratios(model: Model):
