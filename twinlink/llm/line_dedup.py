@@ -43,11 +43,42 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
+#: Letters whose numbers in a line make its sketch, one byte each.
+SKETCHED = "etaoinrs"
+
+
+def sketch(line: Column) -> Column:
+    """How often each of eight letters stands in a line, modulo 256, in one long."""
+    out = F.lit(0).cast("long")
+    for k, letter in enumerate(SKETCHED):
+        count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(255).cast("long")), 8 * k))
+    return out
+
+
+def sketches_agree(a: Column, b: Column, edits: int) -> Column:
+    """False only for lines further apart than ``edits``: an edit changes two numbers by one, or one."""
+    total, byte = F.lit(0).cast("long"), F.lit(255).cast("long")
+    for k in range(len(SKETCHED)):
+        x, y = (F.shiftright(s, 8 * k).bitwiseAND(byte) for s in (a, b))
+        total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
+    return total <= 2 * edits
+
+
+def _common(a: Column, b: Column, most: Column) -> Column:
+    """The length of the common beginning of two strings, at most ``most``, by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(17, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda p, s: F.when((p + s <= most) & (F.substring(a, p + 1, s) == F.substring(b, p + 1, s)), p + s).otherwise(p)
+    )
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most ``edits``, by bit-parallel steps along a diagonal band.
 
     A word of ``2 * edits + 1`` bits holds the vertical differences of a column's cells around the diagonal; a step
     to the next column moves the band down by one row. The distance of the band's middle cell is followed to the end.
+    What the strings begin and end with alike is cut off first.
     """
     width = 2 * edits + 1
     mask = F.lit((1 << width) - 1).cast("long")
@@ -105,8 +136,19 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
 
     swap = F.length(a) < F.length(b)
     ends = F.struct(F.when(swap, b).otherwise(a).alias("x"), F.when(swap, a).otherwise(b).alias("y"))
-    # Named once, so that the characters are cut once and not for every step.
-    cut = F.transform(F.array(ends), lambda e: F.struct(F.split(e["x"], "").alias("x"), F.split(e["y"], "").alias("y")))
+    # Each step is named once, so that the next one does not compute it for every use.
+    least = F.least(F.length(a), F.length(b))
+    begun = F.transform(F.array(ends), lambda e: F.struct(
+        e["x"].alias("x"), e["y"].alias("y"), F.reverse(e["x"]).alias("u"), F.reverse(e["y"]).alias("v"),
+        _common(e["x"], e["y"], least).alias("p"),
+    ))
+    ended = F.transform(begun, lambda e: F.struct(
+        e["x"].alias("x"), e["y"].alias("y"), e["p"].alias("p"), _common(e["u"], e["v"], least - e["p"]).alias("q")
+    ))
+    middle = lambda line, e: F.split(F.substring(line, e["p"] + 1, F.length(line) - e["p"] - e["q"]), "")
+    cut = F.transform(ended, lambda e: F.struct(middle(e["x"], e).alias("x"), middle(e["y"], e).alias("y")))
+    # An empty middle is cut into one empty string.
+    cut = F.transform(cut, lambda e: F.struct(F.array_remove(e["x"], "").alias("x"), F.array_remove(e["y"], "").alias("y")))
     near = F.transform(cut, lambda e: walk(e["x"], e["y"]))[0]
     return F.when(F.abs(F.length(a) - F.length(b)) <= edits, near).otherwise(F.lit(False))
 
@@ -171,20 +213,22 @@ def _classes(lines: DataFrame, edits: int) -> DataFrame:
     """One row per different line: its hashes, first place, number of places and keys."""
     body, chars = F.col("body"), F.col("chars")
     keyed = lines.select(
-        "h1", "h2", "at", F.array(*index_keys(body, chars, edits)).alias("index"), F.array(*probe_keys(body, chars, edits)).alias("probe")
+        "h1", "h2", "at", sketch(body).alias("sketch"), F.array(*index_keys(body, chars, edits)).alias("index"), F.array(*probe_keys(body, chars, edits)).alias("probe")
     )
     return keyed.groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count("*").alias("n"), F.first("index").alias("index"), F.first("probe").alias("probe")
+        F.min("at").alias("first"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("index").alias("index"), F.first("probe").alias("probe")
     )
 
 
 def _links(classes: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """Pairs of classes whose lines are within ``edits``, with the first place of each."""
-    index = classes.select(F.col("h1").alias("b1"), F.explode("index").alias("key"))
-    probe = classes.select(F.col("h1").alias("a1"), F.explode("probe").alias("key"), F.lit(True).alias("moved"))
-    own = index.select(F.col("b1").alias("a1"), "key", F.lit(False).alias("moved"))
-    met = probe.where("key is not null").union(own).join(index, "key")
-    pairs = met.where("moved and a1 != b1 or a1 < b1").select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1"))
+    index = classes.select(F.col("h1").alias("b1"), F.col("sketch").alias("b_sketch"), F.explode("index").alias("key"))
+    probe = classes.select(F.col("h1").alias("a1"), F.col("sketch").alias("a_sketch"), F.explode("probe").alias("probe_key"), F.lit(True).alias("moved"))
+    own = index.select(F.col("b1").alias("a1"), F.col("b_sketch").alias("a_sketch"), F.col("key").alias("probe_key"), F.lit(False).alias("moved"))
+    # In the condition of the join, so that lines that only share a long segment make no row.
+    alike = sketches_agree(F.col("a_sketch"), F.col("b_sketch"), edits) & F.expr("moved and a1 != b1 or a1 < b1")
+    met = probe.where("probe_key is not null").union(own).join(index, (F.col("probe_key") == F.col("key")) & alike)
+    pairs = met.select(F.least("a1", "b1").alias("a1"), F.greatest("a1", "b1").alias("b1"))
     pairs = materialise(pairs.distinct())
     wanted = pairs.select(F.col("a1").alias("h1")).union(pairs.select("b1")).distinct()
     firsts = classes.join(wanted, "h1", "left_semi").select(
@@ -198,7 +242,11 @@ def _links(classes: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     texts = materialise(texts.dropDuplicates(["h1", "h2"]))
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("body").alias("a_body"), F.col("first").alias("a_at"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("body").alias("b_body"), F.col("first").alias("b_at"))
-    near = pairs.join(a, "a1").join(b, "b1").where(within_edits(F.col("a_body"), F.col("b_body"), edits))
+    # Few bytes, but much work for each. Written out evenly, since otherwise the test is pushed into the join, which
+    # adaptive execution gives to one task.
+    spread = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialise(pairs.join(a, "a1").join(b, "b1").repartition(spread))
+    near = met.where(within_edits(F.col("a_body"), F.col("b_body"), edits))
     return near.select("a1", "a2", "a_at", "b1", "b2", "b_at")
 
 
