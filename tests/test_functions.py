@@ -154,3 +154,19 @@ def test_run_id_and_back(spark):
     rid = times.make_run_id(F.lit(8192), F.lit("MATCHING_PROMPT_ONLY"), F.lit("phi4:14b"), F.lit("2025-03-05"))
     assert one(spark, rid) == "8192_max_MATCHING_PROMPT_ONLY_phi4:14b_2025-03-05"
     assert one(spark, times.prompt_of_run(rid)) == "MATCHING_PROMPT_ONLY"
+
+
+def test_a_text_is_tokenised_once(spark):
+    from twinlink.functions import parse
+    from twinlink.functions.text import truncate_tokens
+
+    df = spark.createDataFrame([("the answer is 2", 5)], "text string, n int")
+    columns = [
+        truncate_tokens("text"),
+        parse.parse_matching("text"),
+        parse.parse_comparing("text"),
+        parse.parse_selecting("text", "n"),
+    ]
+    for column in columns:
+        plan = df.select(column.alias("out"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1

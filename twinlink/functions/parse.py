@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from twinlink.functions.prompts import mode_of
-from twinlink.functions.text import _col, strip_punctuation
+from twinlink.functions.text import _col, once, strip_punctuation
 from twinlink.schema import COMPARING, INVALID, MATCHING, NO_RESPONSE, SELECTING, VALID
 
 # The markers looked for in an answer.
@@ -39,26 +39,30 @@ def _clean(response: Column, reasoning: bool, think: bool) -> Column:
 
 def parse_matching(response: Column | str, reasoning: bool = False, think: bool = True) -> Column:
     response = _col(response)
-    text = _clean(response, reasoning, think)
-    answer = F.when((text == "no") | text.startswith("no "), "no").when(
-        (text == "yes") | text.startswith("yes "), "yes"
-    )
-    return _result(response, answer)
+
+    def answer(text: Column) -> Column:
+        no, yes = (text == "no") | text.startswith("no "), (text == "yes") | text.startswith("yes ")
+        return _result(response, F.when(no, "no").when(yes, "yes"))
+
+    return once(_clean(response, reasoning, think), answer)
 
 
 def parse_comparing(response: Column | str, reasoning: bool = False, think: bool = True) -> Column:
     """A stated preference anywhere in the text goes first, then the bare record, then "the answer is ..."."""
     response = _col(response)
-    text = _clean(response, reasoning, think)
     records = ("record a", "record b")
-    answer = F.when(F.lit(False), F.lit(None).cast("string"))
-    for r in records:
-        answer = answer.when(text.contains(MORE_LIKELY.format(r)), r)
-    for r in records:
-        answer = answer.when(text == r, r)
-    for r in records:
-        answer = answer.when(text.rlike(f"^{THE_ANSWER_IS}  ?{r}"), r)
-    return _result(response, answer)
+
+    def answer(text: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for r in records:
+            out = out.when(text.contains(MORE_LIKELY.format(r)), r)
+        for r in records:
+            out = out.when(text == r, r)
+        for r in records:
+            out = out.when(text.rlike(f"^{THE_ANSWER_IS}  ?{r}"), r)
+        return _result(response, out)
+
+    return once(_clean(response, reasoning, think), answer)
 
 
 def parse_selecting(
@@ -66,16 +70,18 @@ def parse_selecting(
 ) -> Column:
     """The first word when it is a number, else the last word; a reasoning model only gives the last word."""
     response = _col(response)
-    text = _clean(response, reasoning, think)
-    text = F.when(
-        text.contains(THE_ANSWER_IS), F.trim(F.substring_index(text, THE_ANSWER_IS, -1))
-    ).otherwise(text)
-    words = F.split(text, " ")
-    last = F.element_at(words, -1)
-    first = F.element_at(words, 1)
-    word = last if reasoning else F.when(first.rlike("^[0-9]+$"), first).otherwise(last)
-    number = F.when(word.rlike("^[0-9]+$"), word.try_cast("int"))
-    return _result(response, F.when(number <= _col(n_candidates), number))
+
+    def words(text: Column) -> Column:
+        end = F.trim(F.substring_index(text, THE_ANSWER_IS, -1))
+        return F.split(F.when(text.contains(THE_ANSWER_IS), end).otherwise(text), " ")
+
+    def number(found: Column) -> Column:
+        last, first = F.element_at(found, -1), F.element_at(found, 1)
+        word = last if reasoning else F.when(first.rlike("^[0-9]+$"), first).otherwise(last)
+        return F.when(word.rlike("^[0-9]+$"), word.try_cast("int"))
+
+    chosen = once(once(_clean(response, reasoning, think), words), number)
+    return once(chosen, lambda n: _result(response, F.when(n <= _col(n_candidates), n)))
 
 
 def response_status(
@@ -95,4 +101,4 @@ def parse(
         return parse_comparing(response, **flags)
     assert mode == SELECTING
     parsed = parse_selecting(response, n_candidates, **flags)
-    return F.struct(parsed["status"].alias("status"), parsed["answer"].cast("string").alias("answer"))
+    return once(parsed, lambda p: F.struct(p["status"].alias("status"), p["answer"].cast("string").alias("answer")))

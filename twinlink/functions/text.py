@@ -20,6 +20,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def serialize_record(attributes: list[Column | str], null_token: str = "nan") -> Column:
     """Attribute values as strings joined by one space; a missing value becomes ``null_token``."""
     return F.concat_ws(" ", *[F.coalesce(_col(a).cast("string"), F.lit(null_token)) for a in attributes])
@@ -46,11 +51,14 @@ def truncate_tokens(
     if limit <= TAIL_TOKENS:
         raise ValueError("max_tokens must exceed 300")
     text = _col(text)
-    tokens = tokenize(text)
-    kept = F.concat(F.slice(tokens, 1, limit - TAIL_TOKENS), F.slice(tokens, -TAIL_TOKENS, TAIL_TOKENS))
+
+    def shorten(tokens: Column) -> Column:
+        kept = F.concat(F.slice(tokens, 1, limit - TAIL_TOKENS), F.slice(tokens, -TAIL_TOKENS, TAIL_TOKENS))
+        return F.when(F.size(tokens) > limit, F.array_join(kept, "")).otherwise(text)
+
     # A token has at least one byte, so a short text is kept without being cut into tokens.
     short = F.octet_length(text) <= limit
-    return F.when(short, text).when(F.size(tokens) > limit, F.array_join(kept, "")).otherwise(text)
+    return F.when(short, text).otherwise(once(tokenize(text), shorten))
 
 
 def instruct_prefix(task: str, text: Column | str) -> Column:
