@@ -131,3 +131,12 @@ def test_kept_texts(odd):
 def test_no_rows(odd):
     assert line_dedup.removed_lines(odd.where("false")).count() == 0
     assert line_dedup.drop_repeated_lines(odd.where("text is null")).collect()[0].text is None
+
+
+def test_sketches_of_near_lines_agree(spark):
+    """Also where a letter's number passes a multiple of 32; the sketches of lines with other letters differ."""
+    texts = ["e" * 31 + "xyz", "e" * 32 + "xyz", "t" + "e" * 31 + "xy", "a" * 3 + "e" * 31 + "xyz", "ä€" + "e" * 31 + "xyz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(line_dedup.sketch(F.col("t")).alias("s"), "t")
+    first = df.where(F.col("t") == texts[0]).select(F.col("s").alias("f"))
+    agree = {r.t: r.ok for r in df.join(first).select("t", line_dedup.sketches_agree(F.col("s"), F.col("f"), 1).alias("ok")).collect()}
+    assert [agree[t] for t in texts] == [True, True, True, False, True]

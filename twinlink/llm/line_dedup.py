@@ -43,25 +43,26 @@ def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
     return out
 
 
-#: Letters whose numbers in a line make its sketch, one byte each.
-SKETCHED = "etaoinrs"
+#: Letters whose numbers in a line make its sketch, and the bits that each of them has there.
+SKETCHED, SKETCH_BITS = "etaoinrshdlu", 5
 
 
 def sketch(line: Column) -> Column:
-    """How often each of eight letters stands in a line, modulo 256, in one long."""
-    out = F.lit(0).cast("long")
+    """How often each of twelve letters stands in a line, modulo 32, in one long."""
+    out, field = F.lit(0).cast("long"), F.lit((1 << SKETCH_BITS) - 1).cast("long")
     for k, letter in enumerate(SKETCHED):
-        count = (F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(F.lit(255).cast("long")), 8 * k))
+        # The letters take one byte each, and bytes need no count of characters.
+        count = (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("long")
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(field), SKETCH_BITS * k))
     return out
 
 
 def sketches_agree(a: Column, b: Column, edits: int) -> Column:
     """False only for lines further apart than ``edits``: an edit changes two numbers by one, or one."""
-    total, byte = F.lit(0).cast("long"), F.lit(255).cast("long")
+    total, half, field = F.lit(0).cast("long"), 1 << (SKETCH_BITS - 1), F.lit((1 << SKETCH_BITS) - 1).cast("long")
     for k in range(len(SKETCHED)):
-        x, y = (F.shiftright(s, 8 * k).bitwiseAND(byte) for s in (a, b))
-        total = total + F.least(F.abs(x - y), 256 - F.abs(x - y))
+        x, y = (F.shiftright(s, SKETCH_BITS * k) for s in (a, b))
+        total = total + F.abs((x - y + half).bitwiseAND(field) - half)
     return total <= 2 * edits
 
 
