@@ -175,3 +175,11 @@ def test_unknown_names_fail(spark):
     check_prompt_mode("MATCHING", "MATCHING_PROMPT_ONLY")
     with pytest.raises(ValueError):
         check_prompt_mode("COMPARING", "MATCHING_PROMPT")
+
+
+def test_a_candidate_without_a_vector_fails(spark):
+    df = spark.createDataFrame([("a", "x", 0), ("a", "y", 1)], "d1_id string, d2_id string, pos long")
+    one = spark.createDataFrame([("a", [1.0, 0.0])], "record_id string, embeddings array<float>")
+    two = spark.createDataFrame([("x", [1.0, 0.0])], "record_id string, embeddings array<float>")
+    with pytest.raises(Exception, match="no vector for d2_id y"):
+        rank.candidate_rank(df, one, two, "cosine").collect()

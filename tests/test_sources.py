@@ -147,3 +147,21 @@ def test_report_file(spark):
     got = {r["Run ID"]: r for r in spark.read.option("header", True).csv(path).collect()}
     assert got["r"]["F1"].startswith("66.66") and got["silent"]["F1"] == "0.0"
     assert list(got["r"].asDict())[:3] == ["Model", "Prompt Type", "Run ID"]
+
+
+def test_quoted_entity_values(spark, tmp_path):
+    """Separators, doubled quotes and line breaks inside quotes belong to the value."""
+    path = tmp_path / "quoted.csv"
+    path.write_text('id|title|price\n1|"Sony 17"" monitor|x"|9\n2|"two\nlines"|8\n')
+    df = files.scan_entities(spark, str(path), ["id", "title", "price"], multi_line=True)
+    assert sorted(map(tuple, df.collect())) == [("1", 'Sony 17" monitor|x', "9"), ("2", "two\nlines", "8")]
+
+
+def test_another_layout_fails(spark, tmp_path):
+    pairs, records = tmp_path / "pairs.json", tmp_path / "records.json"
+    pairs.write_text('{\n  "a": [\n    "x",\n    "y"\n  ]\n}\n')
+    records.write_text('{\n  "a": "one",\n  "b": "two"\n}\n')
+    with pytest.raises(Exception, match="not an entry"):
+        files.scan_pairs_json(spark, str(pairs), "entries").collect()
+    with pytest.raises(Exception, match="not an entry"):
+        files.scan_records_json(spark, str(records), "compact").collect()

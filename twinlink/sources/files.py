@@ -25,10 +25,17 @@ def _file_position() -> Column:
     )
 
 
-def scan_entities(spark: SparkSession, path: str, columns: list[str], sep: str = "|", with_position: bool = False) -> DataFrame:
-    """A delimited entity table with a header; every column is read as a string and the first one is the id."""
+def scan_entities(
+    spark: SparkSession, path: str, columns: list[str], sep: str = "|", with_position: bool = False, multi_line: bool = False
+) -> DataFrame:
+    """A delimited entity table with a header; every column is read as a string and the first one is the id.
+
+    Quoted values may hold separators and doubled quotes, and line breaks if ``multi_line`` is set. A file with such
+    line breaks cannot be split among tasks; keep a large one as Parquet.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    df = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).csv(path)
+    reader = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True)
+    df = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
     return df.withColumn(ROW_POS, _file_position()) if with_position else df
 
 
@@ -77,6 +84,13 @@ def _text_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
     return rows.select(opened.alias("piece")).select(piece.alias("piece"))
 
 
+def _parsed(piece: Column, kind: str) -> Column:
+    """An entry as a map; one that is no such entry fails the query, as a wrong layout would lose it otherwise."""
+    value = F.from_json(F.concat(F.lit("{"), piece, F.lit("}")), kind)
+    message = F.concat(F.lit("not an entry of this layout: "), F.substring(piece, 1, 80))
+    return F.coalesce(value, F.raise_error(message).cast(kind))
+
+
 def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") -> DataFrame:
     """An object ``{d1: [d2, ...]}`` as ``(d1_id, pos, d2_id)``.
 
@@ -85,8 +99,7 @@ def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") ->
     """
     pieces = _entries(spark, path, PAIR_CUTS[layout])
     closed = F.when(F.col("piece").endswith("]"), F.col("piece")).otherwise(F.concat("piece", F.lit("]")))
-    parsed = F.from_json(F.concat(F.lit("{"), closed, F.lit("}")), "map<string,array<string>>")
-    lists = pieces.select(F.explode(parsed).alias("d1_id", "d2_ids"), ROW_POS)
+    lists = pieces.select(F.explode(_parsed(closed, "map<string,array<string>>")).alias("d1_id", "d2_ids"), ROW_POS)
     if layout == "entries":
         lists = lists.join(_later_starts(lists), ["d1_id", ROW_POS], "left")
     else:
@@ -108,8 +121,7 @@ def scan_records_json(spark: SparkSession, path: str, layout: str = "entries") -
     """An object ``{id: text}`` as ``(record_id, text)``, cut at entry ends."""
     read = _text_entries if layout == "compact" else _entries
     piece = read(spark, path, RECORD_CUTS[layout])
-    parsed = F.from_json(F.concat(F.lit("{"), "piece", F.lit("}")), "map<string,string>")
-    return piece.select(F.explode(parsed).alias("record_id", "text"))
+    return piece.select(F.explode(_parsed(F.col("piece"), "map<string,string>")).alias("record_id", "text"))
 
 
 def _write_object(entries: DataFrame, path: str) -> None:
