@@ -159,9 +159,10 @@ def removed_lines(
 ) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``text_hash``, ``n_lines`` and ``removed``, the sorted numbers (from zero) of its repeated lines.
 
-    Lines are cut at line feeds; those of fewer than ``min_chars`` characters are never compared. A line is repeated if
-    a line at most ``edits`` edits away stands before it, by id and then line number, in the whole input; lines are
-    judged on the input, so one that goes itself still counts. Rows with a null id come after all others; rows that
+    Lines are cut at line feeds; empty ones are never repeated. A line is repeated if a line at most ``edits`` edits away
+    stands before it, by id and then line number, in the whole input; of fewer than ``min_chars`` characters, where that
+    many edits make most lines alike, only an equal one counts. Lines are judged on the input, so one that goes itself
+    still counts. Rows with a null id come after all others; rows that
     share an id and their text get the same answer. A null text has no lines, an empty one has one empty line.
 
     Equal lines meet in one row per 128-bit hash before anything is joined. A class is found under the keys of its
@@ -174,14 +175,14 @@ def removed_lines(
     exploded = source.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(split).alias("line", "body"))
     lines = (
         exploded.withColumn("chars", F.length("body"))
-        .where(F.col("chars") >= min_chars)
+        .where(F.col("chars") > 0)
         .select(
             "id", "text_hash", "line", "body", "chars",
             F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(1), "body").alias("h2"),
             F.struct(F.col("id").isNull().alias("unknown"), "id", "line").alias("at"),
         )
     )
-    classes = materialise(_classes(lines, edits))
+    classes = materialise(_classes(lines, edits, min_chars))
     links = materialise(_links(classes, lines, edits))
     before = (
         links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.col("b_at").alias("other"))
@@ -210,12 +211,14 @@ def removed_lines(
     )
 
 
-def _classes(lines: DataFrame, edits: int) -> DataFrame:
-    """One row per different line: its hashes, first place, number of places and keys."""
+def _classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """One row per different line: its hashes, first place, number of places and keys; short lines have no keys."""
     body, chars = F.col("body"), F.col("chars")
+    long = lambda c: F.when(chars >= min_chars, c)
     keyed = lines.select(
-        "h1", "h2", "at", sketch(body).alias("sketch"), F.array(*index_keys(body, chars, edits)).alias("index"), F.array(*probe_keys(body, chars, edits)).alias("probe")
-    )
+        "h1", "h2", "at", long(sketch(body)).alias("sketch"), long(F.array(*index_keys(body, chars, edits))).alias("index"),
+        long(F.array(*probe_keys(body, chars, edits))).alias("probe"),
+    )
     return keyed.groupBy("h1", "h2").agg(
         F.min("at").alias("first"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("index").alias("index"), F.first("probe").alias("probe")
     )
