@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from twinlink.llm.components import connected_components
 from twinlink.session import materialise
 
-#: Expected filters of a vector. At cosine 0.95 two vectors share about half of them.
+#: Filters of a vector, on average over random ones and at least. At cosine 0.95 two vectors share about half of them.
 LISTS = 64
 SEED = 20231
 
@@ -46,9 +46,9 @@ def _threshold(dim: int, size: int, lists: int) -> float:
     return float(-np.partition(-sums, rank)[rank])
 
 
-def decode(vectors: np.ndarray, code: tuple[np.ndarray, list[np.ndarray]], height: float) -> tuple[np.ndarray, np.ndarray]:
+def decode(vectors: np.ndarray, code: tuple[np.ndarray, list[np.ndarray]], height: float, least: int) -> tuple[np.ndarray, np.ndarray]:
     """All (vector, filter) pairs with the vector in the filter's cap: of each half only the directions that the best
-    one of the other half can complete are combined."""
+    one of the other half can complete are combined. A vector in fewer than ``least`` caps gets that many best filters."""
     rotation, (first, second) = code
     half, size = first.shape[1], len(first)
     turned = vectors @ rotation
@@ -57,15 +57,26 @@ def decode(vectors: np.ndarray, code: tuple[np.ndarray, list[np.ndarray]], heigh
     for k in range(len(vectors)):
         a = np.flatnonzero(left[k] >= height - right[k].max())
         b = np.flatnonzero(right[k] >= height - left[k].max())
-        if len(a) and len(b):
-            x, y = np.nonzero(left[k][a][:, None] + right[k][b][None, :] >= height)
-            filters.append(a[x].astype(np.int64) * size + b[y])
-            owners.append(np.full(len(x), k))
+        x, y = np.nonzero(left[k][a][:, None] + right[k][b][None, :] >= height)
+        own = a[x].astype(np.int64) * size + b[y]
+        if len(own) < least:
+            own = _best_filters(left[k], right[k], least)
+        filters.append(own)
+        owners.append(np.full(len(own), k))
     if not owners:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     return np.concatenate(owners), np.concatenate(filters)
 
 
+def _best_filters(left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """The ``least`` filters with the largest sums; equal sums go by the place of the directions."""
+    a, b = (np.argsort(-side, kind="stable")[:least] for side in (left, right))
+    # Before the sum of the i-th and the j-th direction, counted from one, stand i * j - 1 others at least.
+    x, y = np.nonzero(np.arange(1, len(a) + 1)[:, None] * np.arange(1, len(b) + 1)[None, :] <= least)
+    order = np.argsort(-(left[a[x]] + right[b[y]]), kind="stable")[:least]
+    return a[x[order]].astype(np.int64) * len(left) + b[y[order]]
+
+
 def near_vectors(
     vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", min_cosine: float = 0.95, lists: int = LISTS
 ) -> DataFrame:
@@ -78,7 +89,8 @@ def near_vectors(
 
     Equal vectors are one row before anything is joined. The number of directions grows with the square root of the
     number of vectors, so a filter holds a few vectors at every size, and the height of the caps with it, so that a
-    vector keeps about ``lists`` filters. A pair is missed only if it shares none of them.
+    vector keeps about ``lists`` filters; one in fewer caps is put into its ``lists`` best filters. A pair is missed
+    only if it shares none of them.
     """
     source = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
@@ -134,7 +146,7 @@ def _filters(classes: DataFrame, lists: int) -> DataFrame:
                 for start in range(0, len(places), 256):
                     own = places[start : start + 256]
                     unit = _units([rows[i] for i in own])
-                    owner, filters = decode(unit, made[dim], heights[dim])
+                    owner, filters = decode(unit, made[dim], heights[dim], lists)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(owner), dim, dtype=np.int32)), pa.array(filters), pa.array(names[np.asarray(own)][owner])],
                         ["dim", "filter", "class"],
