@@ -127,11 +127,13 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(steps)
 
 
-def _rising(base: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Log of base * (base + 1) * ... , as many factors as ``times``."""
-    out = np.log(base)
+def _rising(log_base: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log of base * (base + 1) * ... , as many factors as ``times``; the base comes as a log, as it may be too small
+    for a number."""
+    out = log_base.copy()
     more = times > 1
-    out[more] = _lgamma(base[more] + times[more]) - _lgamma(base[more])
+    base = np.exp(log_base[more])
+    out[more] += _lgamma(base + times[more]) - _lgamma(base + 1.0)
     return out
 
 
@@ -173,9 +175,10 @@ class _Prior:
         self.given = self.discount * types / tokens if tokens else 1.0
         self.base = tokens + 0.5 * (types + 1)
 
-    def p(self, counts, logs):
+    def log_p(self, counts: np.ndarray, logs: np.ndarray) -> np.ndarray:
         own = np.maximum(counts - self.discount, 0.0) / max(self.tokens, 1)
-        return own + self.given * np.exp(np.maximum(logs, -600.0))
+        with np.errstate(divide="ignore"):
+            return np.logaddexp(np.log(own), math.log(self.given) + logs)
 
 
 def lattice_scores(
@@ -253,8 +256,8 @@ def _scan(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, lattice, prior, ends, end_log = shared.value
-        end_p = prior.p(np.array([float(ends)]), np.array([end_log]))
-        end_less = prior.p(np.array([ends - 1.0]), np.array([end_log]))
+        end_p = prior.log_p(np.array([float(ends)]), np.array([end_log]))
+        end_less = prior.log_p(np.array([ends - 1.0]), np.array([end_log]))
         end_base = math.log10((ends + 0.5) / prior.base)
         for batch in batches:
             texts = [t.lower() for t in raw_texts(batch.column("text"))]
@@ -272,14 +275,14 @@ def _scan(shared):
                 at, tf, doc = at[found], times[found].astype(np.float64), of[found]
                 docs = hi - lo
                 n_tokens = np.diff(words.bounds) + 1
-                p = prior.p(counts[at], lattice[at])
-                less = prior.p(np.maximum(counts[at] - tf, 0.0), lattice[at])
+                p = prior.log_p(counts[at], lattice[at])
+                less = prior.log_p(np.maximum(counts[at] - tf, 0.0), lattice[at])
                 n_rare = np.bincount(of[~found], minlength=docs)
                 fits, others = np.empty((docs, len(CONCENTRATIONS))), np.empty((docs, len(CONCENTRATIONS)))
                 for g, alpha in enumerate(CONCENTRATIONS):
                     size = _lgamma(alpha + n_tokens) - _lgamma(np.full(docs, alpha)) - n_rare * math.log(alpha)
-                    fits[:, g] = np.bincount(doc, _rising(alpha * p, tf), docs) + math.log(alpha * end_p[0]) - size
-                    others[:, g] = np.bincount(doc, _rising(alpha * less, tf), docs) + math.log(alpha * end_less[0]) - size
+                    fits[:, g] = np.bincount(doc, _rising(math.log(alpha) + p, tf), docs) + math.log(alpha) + end_p[0] - size
+                    others[:, g] = np.bincount(doc, _rising(math.log(alpha) + less, tf), docs) + math.log(alpha) + end_less[0] - size
                 base = np.bincount(doc, tf * np.log10((counts[at] + 0.5) / prior.base), docs) + end_base
                 known = np.bincount(doc, tf, docs).astype(np.int64) + (ends > 0)
                 rare = sample[~found]
@@ -315,7 +318,7 @@ def _rare(vocabulary: Vocabulary, weights: np.ndarray, prior: _Prior, alpha: flo
             times = batch.column("times").to_numpy(zero_copy_only=False).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), pa.array(_rising(alpha * prior.p(counts, logs), times) - math.log(alpha)),
+                    batch.column("row"), pa.array(_rising(math.log(alpha) + prior.log_p(counts, logs), times) - math.log(alpha)),
                     pa.array(times * np.log10((counts + 0.5) / prior.base)), pa.array(np.where(counts > 0, times, 0).astype(np.int64)),
                 ],
                 ["row", "logs", "base", "known"],
