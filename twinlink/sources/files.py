@@ -146,10 +146,31 @@ def _entry(key: str, value: Column) -> Column:
 
 
 def sink_pairs(pairs: DataFrame, path: str, list_rows: int = LIST_ROWS) -> None:
-    """Write ``{d1: [d2, ...]}``; lists are in ``pos`` order. A very long list takes several entries in a row."""
+    """Write ``{d1: [d2, ...]}``, one entry for each d1; lists are in ``pos`` order.
+
+    A very long list is put together from pieces of ``list_rows``, all in the one task that writes its entry.
+    """
     lists = group_candidates(pairs, list_rows)
-    lists = lists.repartitionByRange("d1_id", "part").sortWithinPartitions("d1_id", "part")
-    _write_object(lists.select(_entry("d1_id", F.col("d2_ids")).alias("value")), path)
+    lists = lists.repartitionByRange("d1_id").sortWithinPartitions("d1_id", "part")
+    pieces = lists.select("d1_id", _entry("d1_id", F.col("d2_ids")).alias("value"), F.to_json("d2_ids").alias("ids"))
+    _write_object(pieces.mapInArrow(_joined, "value string"), path)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One entry for each key from its pieces, which come one after the other."""
+    key, held = None, []
+    for batch in batches:
+        out = []
+        for d1_id, value, ids in zip(*(batch.column(c).to_pylist() for c in ("d1_id", "value", "ids"))):
+            if held and d1_id == key:
+                held.append(ids[1:-1])
+                continue
+            if held:
+                out.append(", ".join(held) + "]")
+            key, held = d1_id, [value.removesuffix("]")]
+        yield pa.RecordBatch.from_arrays([pa.array(out, type=pa.string())], names=["value"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([", ".join(held) + "]"])], names=["value"])
 
 
 def sink_records(entities: DataFrame, ids: DataFrame, path: str, null_token: str = "nan") -> None:
