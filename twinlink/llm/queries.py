@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinlink.llm import cap_filters, decontaminate, html_text, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup, token_counts, toxicity
+from twinlink.llm import (
+    cap_filters, decontaminate, filter_audit, fim_frames, html_text, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup,
+    token_counts, toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +83,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all their orders, for every source."""
+    out = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op13_fim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the fill-in-the-middle outputs and of the texts restored from them."""
+    outputs = fim_frames.fill_in_middle(fim_frames.store_frames(table(spark, sf_dir, "documents")))
+    return fim_frames.digests(outputs).withColumnRenamed("units", "n")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 DECONTAMINATION_SQL = f"""WITH docs AS (
@@ -102,6 +117,56 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n, 0) A
 FROM docs LEFT JOIN cells USING (r) LEFT JOIN found USING (r)"""
 
 
+AUDIT_SQL = """WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+         + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(first < doc_id, false)::INT AS mask
+  FROM docs JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM letters v, letters w, letters x, letters y, letters z WHERE v.b | w.b | x.b | y.b | z.b = 31),
+steps AS (
+  SELECT filter_order, s::INT AS step, bits[s] AS own, coalesce(list_sum(bits[1:s - 1]), 0)::INT AS earlier
+  FROM orders, range(1, 6) AS t(s)),
+cells AS (
+  SELECT part, filter_order, step, own, count(*) FILTER (mask & (earlier | own) = 0) AS kept,
+         count(*) FILTER (mask & earlier = 0 AND mask & own > 0) AS removed,
+         count(*) FILTER (mask & earlier > 0 AND mask & own > 0) AS redundant,
+         count(*) FILTER (mask = own) AS unique_fails,
+         count(*) FILTER (mask & earlier = 0 AND mask & own > 0 AND good = 1) AS good_lost,
+         count(*) FILTER (mask & earlier = 0 AND mask & own > 0 AND toxic = 1) AS toxic_lost
+  FROM failed, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM cells"""
+
+FIM_SQL = """WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+hashes AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1)::UBIGINT AS c1, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1)::UBIGINT AS c2,
+         ('0x' || substr(h, 17, 8))::UBIGINT % 100 AS c3, ('0x' || substr(h, 25, 8))::UBIGINT % 100 AS c4
+  FROM docs),
+cuts AS (
+  SELECT doc_id, t, n, least(c1, c2)::BIGINT AS a, greatest(c1, c2)::BIGINT AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c3 >= 90 THEN 'plain'
+              WHEN c4 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashes),
+parts AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+         AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
+
 QUERIES = {
     "op1_lattice_scoring": (op1_lattice_scoring, None),
     "op2_substring_dedup": (op2_substring_dedup, None),
@@ -113,6 +178,8 @@ QUERIES = {
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, DECONTAMINATION_SQL),
+    "op12_filter_audit": (op12_filter_audit, AUDIT_SQL),
+    "op13_fim_frames": (op13_fim_frames, FIM_SQL),
 }
 
 
