@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlink.llm import (
-    cap_filters, decontaminate, filter_audit, fim_frames, html_text, lattice_lm, line_dedup, sentencepiece_codec, simhash, substring_dedup,
-    token_counts, toxicity,
+    cap_filters, decontaminate, filter_audit, fim_frames, html_text, lattice_lm, line_dedup, packing, sentencepiece_codec, simhash,
+    substring_dedup, token_counts, toxicity,
 )
 
 
@@ -83,6 +83,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     )
 
 
+def tokenizer_json() -> str:
+    """The public byte-level tokenizer that the packing query uses."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+def op11_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    out = packing.checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer_json(), end_id=1, capacity=2048))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all their orders, for every source."""
     out = filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -178,6 +192,7 @@ QUERIES = {
     "op8_simhash_near_dedup": (op8_simhash_near_dedup, None),
     "op9_line_dedup": (op9_line_dedup, None),
     "op10_benchmark_decontamination": (op10_benchmark_decontamination, DECONTAMINATION_SQL),
+    "op11_cutting_stock_packing": (op11_cutting_stock_packing, None),
     "op12_filter_audit": (op12_filter_audit, AUDIT_SQL),
     "op13_fim_frames": (op13_fim_frames, FIM_SQL),
 }
