@@ -15,6 +15,8 @@ Conditions = dict[str, Callable[[Column], Column]]
 COPY = "E"
 #: Rows of one text that a task compares at most with the text of its smallest id.
 SALT_ROWS = 1000
+#: Up to so many hashes under more than one id are sent to all tasks (some 30 MB); beyond, the texts are shuffled by hash.
+BROADCAST_ROWS = 250_000
 
 
 def words(text: Column) -> Column:
@@ -70,10 +72,12 @@ def earlier_copies(source: DataFrame, facts: DataFrame) -> DataFrame:
 
     Hashes under more than one id are found without the texts; only rows with such a hash bring theirs. The smallest
     id of each text stands for all of them, once for every ``SALT_ROWS`` rows, so that a text with many copies is
-    compared in many tasks.
+    compared in many tasks. Few enough hashes are sent to the tasks that read the texts.
     """
     shared = facts.groupBy("digest").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n")).where("lo < hi")
     shared = materialise(shared.select("digest", "lo", F.floor(F.col("n") / SALT_ROWS).alias("salts")))
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
     texts = source.where("id is not null").select("id", "digest", "text").join(shared, "digest")
     first = texts.groupBy("digest", "text", "salts").agg(F.min("id").alias("first"))
     first = first.select("digest", "text", "first", F.explode(F.sequence(F.lit(0).cast("long"), "salts")).alias("salt"))
