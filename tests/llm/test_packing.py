@@ -85,15 +85,18 @@ def test_repeated_and_null_ids(spark, tokenizer):
         packing.pack(df, queries.tokenizer_json(), capacity=10)
 
 
-def test_long_text_is_encoded_in_parts(tokenizer, monkeypatch):
+def test_ids_are_those_of_the_file(tokenizer, monkeypatch):
+    """Every code point, and texts cut into parts, against the file's own library."""
+    encode = packing.byte_level_encoder(queries.tokenizer_json())
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)}1" for c in points[k : k + 97]) for k in range(0, len(points), 97)]
+    assert all(encode(t) == e.ids for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)))
     monkeypatch.setattr(packing, "PART_CHARS", 50)
-    monkeypatch.setattr(packing, "CALL_CHARS", 120)
     rng = random.Random(1)
     texts = ["".join(rng.choice(["a", "é ", "  ", "it's ", "x_1 ", "\n ", "😀", " <|endoftext|> ", "..."]) for _ in range(500)) for _ in range(20)]
     texts += ["", "z" * 300, "no" + " " * 200 + "blank"]
     assert max(map(len, map(packing._parts, texts))) > 3
-    got = packing._encode(tokenizer, texts, 1)
-    assert [x.tolist() for x in got] == [encoded(tokenizer, t) for t in texts]
+    assert [packing._encode(encode, t, 1).tolist() for t in texts] == [encoded(tokenizer, t) for t in texts]
 
 
 def used(found):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from twinlink.session import materialise
 
 CAPACITY = 2048
-#: Texts are encoded in parts of about so many characters, and so many characters at once.
-PART_CHARS, CALL_CHARS = 1 << 16, 1 << 20
+#: Texts are encoded in parts of about so many characters.
+PART_CHARS = 1 << 16
+# Fixed value: the pattern of the byte-level format.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The linear program ends at this relative distance from its lower bound, or after so many knapsack tables.
 GAP, MAX_TABLES = 0.0005, 200
 #: Patterns taken from one knapsack table.
@@ -41,23 +43,34 @@ def _parts(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
-def _encode(tokenizer, texts: list[str], end_id: int) -> list[np.ndarray]:
-    """The ids of each text with the end id; a bounded number of characters is encoded at once."""
-    parts, owner = [], []
-    for k, text in enumerate(texts):
-        for part in _parts(text) if text else ():
-            parts.append(part)
-            owner.append(k)
-    ids: list[list[np.ndarray]] = [[] for _ in texts]
-    start = size = 0
-    for at, part in enumerate([*parts, ""]):
-        if at == len(parts) or size + len(part) > CALL_CHARS:
-            for k, e in zip(owner[start:at], tokenizer.encode_batch_fast(parts[start:at], add_special_tokens=False)):
-                ids[k].append(np.array(e.ids, dtype=np.int32))
-            start, size = at, 0
-        size += len(part)
-    end = np.array([end_id], dtype=np.int32)
-    return [np.concatenate([*found, end]) for found in ids]
+def byte_level_encoder(tokenizer_json: str) -> Callable[[str], list[int]]:
+    """The encoding function of a byte-level tokenizer file.
+
+    The file's vocabulary is handed to tiktoken, whose merge loop gives the same ids several times faster than the
+    file's own library; a file whose ids are not in the order of its merges is refused, as they would differ.
+    """
+    import tiktoken
+
+    model = json.loads(tokenizer_json)
+    vocabulary, merges = model["model"]["vocab"], model["model"]["merges"]
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    # Bytes that print stand for themselves in the file, the others for characters from 256 on.
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in printed} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in printed)}
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+    joined = ("".join(m if isinstance(m, list) else m.split(" ")) for m in merges)
+    if model["normalizer"] or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"]:
+        raise ValueError("not a plain byte-level tokenizer")
+    if any(vocabulary[token] != 256 + n for n, token in enumerate(joined)):
+        raise ValueError("the ids are not in the order of the merges")
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode(text, allowed_special="all")
+
+
+def _encode(encode: Callable[[str], list[int]], text: str, end_id: int) -> np.ndarray:
+    """The ids of a text with the end id."""
+    found = [np.array(encode(part), dtype=np.int32) for part in _parts(text)] if text else []
+    return np.concatenate([*found, np.array([end_id], dtype=np.int32)])
 
 
 def encoded_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,15 +84,12 @@ def encoded_pieces(docs: DataFrame, tokenizer_json: str, end_id: int = 1, capaci
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(shared.value)
+        encode = byte_level_encoder(shared.value)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = _encode(tokenizer, [t or "" for t in part.column("text").to_pylist()], end_id)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                ids = [_encode(encode, t or "", end_id) for t in part.column("text").to_pylist()]
                 totals = np.array([len(x) for x in ids], dtype=np.int64)
                 counts = -(-totals // capacity)
                 owner = np.repeat(np.arange(len(ids)), counts)
