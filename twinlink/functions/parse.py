@@ -6,6 +6,8 @@ it is null unless the status is VALID.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,6 +67,27 @@ def parse_comparing(response: Column | str, reasoning: bool = False, think: bool
     return once(_clean(response, reasoning, think), answer)
 
 
+def comparing_answer(response: str | None, reasoning: bool = False, think: bool = True) -> tuple[str, str | None]:
+    """Status and answer of one plain response, as ``parse_comparing`` gives them, for steps inside a task."""
+    if response is None:
+        return NO_RESPONSE, None
+    if reasoning and think:
+        if END_OF_THOUGHT not in response:
+            return INVALID, None
+        response = response.lower().rpartition(END_OF_THOUGHT)[2].strip(" ")
+    text = " ".join(re.findall(r"\w+", response)).lower()
+    records = ("record a", "record b")
+    for found in (
+        lambda r: MORE_LIKELY.format(r) in text,
+        lambda r: text == r,
+        lambda r: re.match(f"{THE_ANSWER_IS}  ?{r}", text) is not None,
+    ):
+        for r in records:
+            if found(r):
+                return VALID, r
+    return INVALID, None
+
+
 def parse_selecting(
     response: Column | str, n_candidates: Column | str, reasoning: bool = False, think: bool = True
 ) -> Column:

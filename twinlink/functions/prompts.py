@@ -66,6 +66,12 @@ def _fill(prompt_type: str, values: list[Column]) -> Column:
     return F.concat(*parts)
 
 
+def fill_prompt(prompt_type: str, *values: str) -> str:
+    """The same prompt from plain texts, for steps that put questions inside a task."""
+    pieces = re.split(r"\{(\d)\}", TEMPLATES[prompt_type])
+    return "".join(values[int(p)] if i % 2 else p for i, p in enumerate(pieces))
+
+
 def _exactly(n: int, candidates: Column, prompt: Column) -> Column:
     message = F.concat(F.lit(f"expected {n} candidate(s), got "), F.size(candidates).cast("string"))
     return F.when(F.size(candidates) == n, prompt).otherwise(F.raise_error(message))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -61,5 +62,21 @@ def truncate_tokens(
     return F.when(short, text).otherwise(once(tokenize(text), shorten))
 
 
+_SPACED_TOKEN = re.compile(SPACED_TOKEN, re.ASCII)
+
+
+def truncate_text(text: str, max_tokens: int = 2048) -> str:
+    """``truncate_tokens`` of one plain text, for steps that put questions inside a task."""
+    limit = max_tokens - RESERVED_TOKENS
+    if limit <= TAIL_TOKENS:
+        raise ValueError("max_tokens must exceed 300")
+    if len(text) <= limit:
+        return text
+    tokens = _SPACED_TOKEN.findall(text)
+    if len(tokens) <= limit:
+        return text
+    return "".join(tokens[: limit - TAIL_TOKENS] + tokens[-TAIL_TOKENS:])
+
+
 def instruct_prefix(task: str, text: Column | str) -> Column:
     return F.concat(F.lit(f"Instruct: {task}\nQuery: "), _col(text))

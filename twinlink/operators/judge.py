@@ -1,13 +1,14 @@
 """Asking a judge about candidate pairs, in batches, and acting on its answers.
 
 A judge is any function that takes a pandas frame of questions (column ``prompt`` plus the keys of the question) and
-returns one raw response, or None, per row. It runs inside ``mapInPandas``; prompts, truncation and parsing around it
+returns one raw response, or None, per row; one with a second argument also gets the request options. It runs inside ``mapInPandas``; prompts, truncation and parsing around it
 are column expressions. Every frame of answers is written to a table before it is used again, since a second
 evaluation would ask the judge a second time.
 """
 
 from __future__ import annotations
 
+import inspect
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -17,20 +18,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlink.functions.parse import parse
-from twinlink.functions.prompts import build_prompt, prompt_group, selecting_prompt
-from twinlink.functions.text import TAIL_TOKENS, truncate_tokens
+from twinlink.functions.parse import comparing_answer, parse
+from twinlink.functions.prompts import build_prompt, fill_prompt, prompt_group, selecting_prompt
+from twinlink.functions.text import TAIL_TOKENS, truncate_text, truncate_tokens
 from twinlink.operators.rank import LIST_ROWS, rank_within
 from twinlink.operators.registry import check_prompt_mode
-from twinlink.schema import COMPARING, MATCHING, REASONING_MODEL, SELECTING, VALID
+from twinlink.schema import COMPARING, FAILED, MATCHING, REASONING_MODEL, SELECTING, VALID
 from twinlink.session import materialise
 
 Judge = Callable[[pd.DataFrame], Sequence[str | None]]
 
 
+#: A judge raises one of these when a request does not come through; any other exception is a fault and ends the job.
+class RequestFailed(Exception):
+    """For judges whose own errors are no ``OSError``."""
+
+
+RETRIED = (OSError, RequestFailed)
+#: Single questions that are tried before a batch whose halves both fail is given up as an outage.
+PROBES = 3
+# A list with more candidates than this is sorted in rounds over all tasks instead of inside one.
+LONG_LIST = 10_000
+# Answer lengths that the request options ask for.
+ANSWER_TOKENS, THINKING_TOKENS = 128, 8192
+
+
 @dataclass(frozen=True)
 class Options:
-    """How questions are put: prompt size, retries, and whether answers carry a chain of thought."""
+    """How questions are put: prompt size, request options, retries, and whether answers carry a chain of thought."""
 
     model: str = "judge"
     run_id: str = "run"
@@ -38,8 +53,15 @@ class Options:
     attempts: int = 3
     retry_wait: float = 5.0
     think: bool = True
+    temperature: float = 0.0
     # Questions sent in one call.
     batch_rows: int = 1024
+    # Batches without any answer after which a task asks nothing more.
+    outage_batches: int = 3
+    # Candidate pairs that are judged between two commits of a run.
+    commit_pairs: int = 200_000
+    # Failed lists or pairs that a run puts up with.
+    failure_limit: int = 1000
 
     @property
     def flags(self) -> dict[str, bool]:
@@ -48,44 +70,122 @@ class Options:
     @property
     def num_predict(self) -> int:
         """Answer length to allow: a reasoning model needs room for its thoughts."""
-        return 8192 if self.model == REASONING_MODEL else 128
-
+        return THINKING_TOKENS if self.model == REASONING_MODEL else ANSWER_TOKENS
 
-def ask_with_retry(judge: Judge, questions: pd.DataFrame, attempts: int, wait: float) -> list[str | None]:
-    """Responses in row order; a question that keeps failing gets None.
-
-    The pause grows by ``wait`` seconds with every failure. A failing batch is halved until the failure is pinned to
-    single questions, so the others keep their answers.
-    """
-    if not len(questions):
-        return []
+    @property
+    def request(self) -> dict[str, object]:
+        """What a judge that takes a second argument is told about the request."""
+        return {
+            "model": self.model, "temperature": self.temperature, "num_predict": self.num_predict,
+            "num_ctx": self.max_tokens, "think": self.think,
+        }
+
+
+def _put(judge: Judge, options: Options | None) -> Judge:
+    """The judge with the request options bound to its second argument, if it has one."""
+    try:
+        takes = len([p for p in inspect.signature(judge).parameters.values() if p.default is p.empty and p.kind <= p.POSITIONAL_OR_KEYWORD])
+    except (TypeError, ValueError):
+        takes = 1
+    if options is None or takes < 2:
+        return judge
+    return lambda questions: judge(questions, options.request)
+
+
+def _tried(judge: Judge, questions: pd.DataFrame, attempts: int, wait: float) -> list[str | None] | None:
+    """The responses, or None if every attempt failed; the pause grows by ``wait`` seconds with every failure."""
     for i in range(attempts):
         try:
             responses = list(judge(questions))
-        except Exception:
+        except RETRIED:
             time.sleep(wait * i)
             continue
         if len(responses) != len(questions):
             raise ValueError("a judge must return one response per question")
         return responses
-    if len(questions) == 1:
-        return [None]
-    half = len(questions) // 2
-    head, tail = questions.iloc[:half], questions.iloc[half:]
-    return ask_with_retry(judge, head, attempts, wait) + ask_with_retry(judge, tail, attempts, wait)
+    return None
+
+
+def ask_apart(judge: Judge, questions: pd.DataFrame, attempts: int, wait: float) -> tuple[list[str | None], list[bool]]:
+    """Responses in row order, and which questions failed.
+
+    A failing batch is halved until the failure is pinned to single questions, so the others keep their answers. If
+    both halves fail and so do a few single questions of them, the judge is out of reach and all questions fail.
+    """
+    n = len(questions)
+    if not n:
+        return [], []
+    responses = _tried(judge, questions, attempts, wait)
+    if responses is not None:
+        return responses, [False] * n
+    return _halved(judge, questions, attempts, wait)
+
+
+def _halved(judge: Judge, questions: pd.DataFrame, attempts: int, wait: float) -> tuple[list[str | None], list[bool]]:
+    n = len(questions)
+    if n == 1:
+        return [None], [True]
+    halves = [questions.iloc[: n // 2], questions.iloc[n // 2 :]]
+    tried = [_tried(judge, half, attempts, wait) for half in halves]
+    if all(t is None for t in tried) and n > PROBES:
+        probes = sorted({0, n // 2, n - 1})[:PROBES]
+        if all(_tried(judge, questions.iloc[k : k + 1], attempts, wait) is None for k in probes):
+            return [None] * n, [True] * n
+    responses: list[str | None] = []
+    failed: list[bool] = []
+    for half, found in zip(halves, tried):
+        more = (found, [False] * len(half)) if found is not None else _halved(judge, half, attempts, wait)
+        responses += more[0]
+        failed += more[1]
+    return responses, failed
+
+
+def ask_with_retry(judge: Judge, questions: pd.DataFrame, attempts: int, wait: float) -> list[str | None]:
+    """Responses in row order; a question that keeps failing gets None."""
+    return ask_apart(judge, questions, attempts, wait)[0]
+
+
+class Line:
+    """One task's line to the judge. After ``outage_batches`` batches without any answer it is closed: what is still
+    to be asked fails at once, so that the task ends and what others answered can be kept."""
+
+    def __init__(self, judge: Judge, options: Options):
+        self.judge, self.options, self.silent = _put(judge, options), options, 0
+
+    def ask(self, questions: pd.DataFrame) -> pd.DataFrame:
+        """``response``, ``failed`` and ``answered_at`` of each question, sent in calls of ``batch_rows``."""
+        parts = []
+        for at in range(0, len(questions), self.options.batch_rows):
+            part = questions.iloc[at : at + self.options.batch_rows]
+            if self.silent < self.options.outage_batches:
+                responses, failed = ask_apart(self.judge, part, self.options.attempts, self.options.retry_wait)
+                self.silent = self.silent + 1 if all(failed) else 0
+            else:
+                responses, failed = [None] * len(part), [True] * len(part)
+            now = pd.Timestamp.now(tz="UTC")
+            parts.append(pd.DataFrame({"response": pd.Series(responses, dtype=object), "failed": failed, "answered_at": now}))
+        return pd.concat(parts, ignore_index=True)
+
+
+_ANSWER = [
+    T.StructField("response", T.StringType()), T.StructField("failed", T.BooleanType()), T.StructField("answered_at", T.TimestampType()),
+]
 
 
 def judge_retry(questions: DataFrame, judge: Judge, options: Options) -> DataFrame:
-    """Add the judge's raw ``response`` to every question; null where it never answered."""
+    """Add the judge's raw ``response`` to every question, whether the request ``failed``, and when it came back.
+
+    The response is null where the judge gave none and where the request failed; only the latter is asked again.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        line = Line(judge, options)
         for frame in frames:
             for at in range(0, len(frame), options.batch_rows):
-                part = frame.iloc[at : at + options.batch_rows]
-                yield part.assign(response=ask_with_retry(judge, part, options.attempts, options.retry_wait))
+                part = frame.iloc[at : at + options.batch_rows].reset_index(drop=True)
+                yield pd.concat([part, line.ask(part)], axis=1)
 
-    schema = T.StructType(questions.schema.fields + [T.StructField("response", T.StringType())])
-    return questions.mapInPandas(run, schema)
+    return questions.mapInPandas(run, T.StructType(questions.schema.fields + _ANSWER))
 
 
 class Asker:
@@ -97,6 +197,7 @@ class Asker:
         self.prompt = truncate_tokens("full_prompt", options.max_tokens).alias("prompt")
         self.size = F.size("candidates").alias("n_candidates")
         self.parsed = parse(prompt_type, "response", "n_candidates", **options.flags)
+        self.status = F.when(F.col("failed"), FAILED).otherwise(F.col("parsed.status")).alias("status")
 
     def __call__(self, questions: DataFrame) -> DataFrame:
         keys = [c for c in questions.columns if c not in ("record", "candidates")]
@@ -106,22 +207,26 @@ class Asker:
         """Ask what is written out in ``full_prompt``, about ``n_candidates`` candidates."""
         asked = written.select(*keys, "n_candidates", self.prompt)
         responses = judge_retry(asked, self.judge, self.options)
-        return responses.withColumn("parsed", self.parsed).select(*keys, "parsed.status", "parsed.answer")
+        parsed = responses.withColumn("parsed", self.parsed)
+        return parsed.select(*keys, self.status, "parsed.answer", "answered_at")
 
 
 def judge_batch(questions: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
-    """Ask about ``record`` and its ``candidates``; adds ``status`` and ``answer``, drops the texts."""
+    """Ask about ``record`` and its ``candidates``; adds ``status``, ``answer`` and ``answered_at``, drops the texts."""
     return Asker(judge, prompt_type, options)(questions)
 
 
 def log_rows(answers: DataFrame, prompt_type: str, options: Options) -> DataFrame:
-    """Answers ``(d1_id, d2_candidates_id, result, status)`` in the layout of the result log."""
+    """Answers ``(d1_id, d2_candidates_id, result, status, answered_at)`` in the layout of the result log.
+
+    Rows whose request failed have that status; they are for the caller to see, not for the log (``final_rows``).
+    """
     return answers.select(
         F.col("d1_id").cast("string").alias("d1_id"),
         F.col("d2_candidates_id").cast("array<string>").alias("d2_candidates_id"),
         F.col("result").cast("string").alias("result"),
         F.col("status").alias("request_status"),
-        F.current_timestamp().alias("inserted_at"),
+        F.coalesce("answered_at", F.current_timestamp()).alias("inserted_at"),
         F.lit(prompt_type).alias("prompt_type"),
         F.lit(prompt_group(prompt_type)).alias("prompt_group"),
         F.lit(options.model).alias("model"),
@@ -129,6 +234,11 @@ def log_rows(answers: DataFrame, prompt_type: str, options: Options) -> DataFram
     )
 
 
+def final_rows(rows: DataFrame) -> DataFrame:
+    """The log rows that say something final."""
+    return rows.filter(F.col("request_status") != FAILED)
+
+
 def match_answers(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
     """``(d1_id, pos, d2_id, status, answer)`` for pairs with texts, asked one by one."""
     questions = pairs.select(
@@ -146,6 +256,7 @@ def match_pairs(pairs: DataFrame, judge: Judge, prompt_type: str, options: Optio
         F.array("d2_id").alias("d2_candidates_id"),
         F.when(F.col("answer") == "yes", F.col("d2_id")).alias("result"),
         "status",
+        "answered_at",
     )
     return log_rows(rows, prompt_type, options)
 
@@ -155,19 +266,142 @@ def _numbered(pairs: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("d1_id").agg(F.count("*").alias("n"))
     ranked = rank_within(pairs, ["d1_id"], [F.col("pos"), F.col("d2_id")], sizes=pairs)
     slots = ranked.withColumn("slot", F.col("rank") - 1).drop("rank", "pos")
-    return slots.join(sizes, "d1_id").withColumn("status", F.lit(VALID))
+    return slots.join(sizes, "d1_id").withColumns({"status": F.lit(VALID), "answered_at": F.lit(None).cast("timestamp")})
 
 
-def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
+def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options, long_list: int = LONG_LIST) -> DataFrame:
     """Bubble-sort every d1's candidates by a pairwise judge: ``(d1_id, slot, d2_id, status, texts...)``, best at 0.
 
     A comparison asks about slots (i + 1, i) as records A and B and swaps them on a valid "record a". Its outcome
     only depends on the neighbouring comparisons of this pass and the one before, so comparison i of pass p can run
     in round i + 2p next to all others of that round. A list of n is sorted in 2n - 3 rounds with the questions, and
-    therefore the result, of the sequential sort, whether or not the judge is transitive. Rows stay one per
-    candidate: the comparisons of one long list spread over all tasks. ``status`` at slot 0 is that of the last
-    question; a list of one is valid without a question.
+    therefore the result, of the sequential sort, whether or not the judge is transitive.
+
+    A list is sorted inside one task, which steps as many lists together as fill a call of ``batch_rows`` questions;
+    so the number of jobs does not depend on the lists. Lists of more than ``long_list`` candidates, with their
+    ``n * n / 2`` questions, go through the rounds as one row per candidate spread over all tasks.
+
+    ``status`` at slot 0 is that of the last question; a list of one is valid without a question. A list with a
+    question that failed has that status and is not sorted any further. ``answered_at`` is the time of the last answer.
     """
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("d1_id", "pos", "d2_id", "d1_text", "d2_text")
+    long = pairs.groupBy("d1_id").agg(F.count("*").alias("n")).filter(F.col("n") > long_list).select("d1_id")
+    hot = not long.isEmpty()
+    short = pairs.join(long, "d1_id", "left_anti") if hot else pairs
+    lists = short.repartition(parts, "d1_id").sortWithinPartitions("d1_id", "pos", "d2_id")
+    kinds = {f.name: f for f in pairs.schema.fields}
+    schema = T.StructType(
+        [kinds["d1_id"], T.StructField("slot", T.IntegerType()), kinds["d2_id"], kinds["d1_text"], kinds["d2_text"]]
+        + [T.StructField("status", T.StringType()), T.StructField("answered_at", T.TimestampType())]
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _sorted_lists(frames, Line(judge, options), prompt_type, options)
+
+    # A table: a second evaluation would ask the judge again.
+    out = materialise(lists.mapInPandas(run, schema))
+    return materialise(out.unionByName(_sorted_in_rounds(pairs.join(long, "d1_id", "left_semi"), judge, prompt_type, options))) if hot else out
+
+
+class _Sort:
+    """One list in the middle of its sort: the order so far and the comparisons of the round at hand."""
+
+    __slots__ = ("d1_id", "d1_text", "rows", "t", "pending", "status", "at")
+
+    def __init__(self, d1_id, d1_text: str, rows: list[tuple]):
+        self.d1_id, self.d1_text, self.rows = d1_id, d1_text, rows
+        self.t, self.status, self.at = 0, VALID, pd.NaT
+        self.pending = self._round()
+
+    def _round(self) -> list[int]:
+        n, t = len(self.rows), self.t
+        return [i for i in range(t % 2, t + 1, 2) if i + (t - i) // 2 <= n - 2]
+
+    def answered(self, outcomes: list[tuple[str, str | None]], at: pd.Timestamp) -> bool:
+        """Take the answers of a round; whether the list is done."""
+        for i, (status, answer) in zip(self.pending, outcomes):
+            self.status, self.at = status, at
+            if status == FAILED:
+                return True
+            if status == VALID and answer == "record a":
+                self.rows[i], self.rows[i + 1] = self.rows[i + 1], self.rows[i]
+        self.t += 1
+        self.pending = self._round()
+        return self.t > 2 * len(self.rows) - 4
+
+    def out(self) -> list[tuple]:
+        return [(self.d1_id, k, d2_id, self.d1_text, text, self.status, self.at) for k, (d2_id, text) in enumerate(self.rows)]
+
+
+def _lists(frames: Iterator[pd.DataFrame]) -> Iterator[_Sort]:
+    """The lists of frames that are sorted by d1, each complete however the frames are cut."""
+    owner, text, rows = None, None, []
+    for frame in frames:
+        for d1_id, d2_id, d1_text, d2_text in zip(frame["d1_id"], frame["d2_id"], frame["d1_text"], frame["d2_text"]):
+            if rows and d1_id != owner:
+                yield _Sort(owner, text, rows)
+                rows = []
+            owner, text = d1_id, d1_text
+            rows.append((d2_id, d2_text))
+    if rows:
+        yield _Sort(owner, text, rows)
+
+
+def _sorted_lists(frames: Iterator[pd.DataFrame], line: Line, prompt_type: str, options: Options) -> Iterator[pd.DataFrame]:
+    waiting, active, done = _lists(frames), [], []
+
+    def flush() -> pd.DataFrame:
+        columns = ["d1_id", "slot", "d2_id", "d1_text", "d2_text", "status", "answered_at"]
+        out = pd.DataFrame(done, columns=columns).astype({"slot": "int32"})
+        out["answered_at"] = pd.to_datetime(out["answered_at"], utc=True)
+        done.clear()
+        return out
+
+    more = True
+    while more or active:
+        size = sum(len(s.pending) for s in active)
+        while more and size < options.batch_rows:
+            found = next(waiting, None)
+            more = found is not None
+            if more and len(found.rows) == 1:
+                done.extend(found.out())
+            elif more:
+                active.append(found)
+                size += len(found.pending)
+        if active:
+            questions = [(s, s.rows[i + 1], s.rows[i]) for s in active for i in s.pending]
+            asked = pd.DataFrame(
+                {
+                    "d1_id": [s.d1_id for s, _, _ in questions], "d1_text": [s.d1_text for s, _, _ in questions],
+                    "a_id": [a[0] for _, a, _ in questions], "a_text": [a[1] for _, a, _ in questions],
+                    "b_id": [b[0] for _, _, b in questions], "b_text": [b[1] for _, _, b in questions],
+                    "n_candidates": 2,
+                    "prompt": [truncate_text(fill_prompt(prompt_type, s.d1_text, a[1], b[1]), options.max_tokens) for s, a, b in questions],
+                }
+            )
+            answers = line.ask(asked)
+            outcomes = [
+                (FAILED, None) if failed else comparing_answer(response, **options.flags)
+                for response, failed in zip(answers["response"], answers["failed"])
+            ]
+            times, at, left = answers["answered_at"].tolist(), 0, []
+            for s in active:
+                n = len(s.pending)
+                if s.answered(outcomes[at : at + n], times[at + n - 1]):
+                    done.extend(s.out())
+                else:
+                    left.append(s)
+                at += n
+            active = left
+        if len(done) >= 10 * options.batch_rows:
+            yield flush()
+    if done:
+        yield flush()
+
+
+def _sorted_in_rounds(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
+    """``compare_sort`` of lists too long for one task: each round is a table of one row per candidate."""
     state = materialise(_numbered(pairs))
     longest = state.agg(F.max("n")).first()[0] or 0
     done = [state.filter(F.col("n") == 1)]
@@ -180,8 +414,10 @@ def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Opti
     out = done[0].select(*columns)
     for part in done[1:]:
         out = out.unionByName(part)
-    # One table instead of one per list length, for whoever reads the order more than once.
-    return materialise(out.drop("n"))
+    # A question that failed in any round makes the whole list fail.
+    lost = out.groupBy("d1_id").agg(F.max(F.col("status") == FAILED).alias("lost"))
+    status = F.when(F.col("lost"), FAILED).otherwise(F.col("status"))
+    return out.drop("n").join(lost, "d1_id").withColumn("status", status).drop("lost")
 
 
 class _Round:
@@ -214,7 +450,8 @@ class _Round:
         marked = state.withColumn("t", F.lit(t)).withColumn("lower", self.lower).withColumn("meets", self.meets)
         pairs = marked.filter("meets").groupBy("d1_id", "lower").agg(*self.meeting)
         judged = self.ask(pairs.select("d1_id", "lower", "n", "d1_text", *self.question))
-        moved = judged.select("d1_id", "n", "d1_text", "status", self.moved).select("d1_id", "n", "d1_text", "status", "row.*")
+        kept = ["d1_id", "n", "d1_text", "status", "answered_at"]
+        moved = judged.select(*kept, self.moved).select(*kept, "row.*")
         return moved.unionByName(marked.filter("not meets").select(*moved.columns))
 
 
@@ -225,7 +462,7 @@ def score_sort(pairs: DataFrame, score: str) -> DataFrame:
 
 
 def _log_lists(outcomes: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Outcomes ``(d1_id, result, status)`` with their ordered candidates, as the result log holds them.
+    """Outcomes ``(d1_id, result, status, answered_at)`` with their ordered candidates, as the result log holds them.
 
     A list longer than ``LIST_ROWS`` goes on in further rows of the same d1, which assert nothing; neither resuming
     nor the metrics see a difference.
@@ -243,6 +480,7 @@ def _log_lists(outcomes: DataFrame, ordered: DataFrame) -> DataFrame:
         F.coalesce("ids", F.array().cast(lists.schema["ids"].dataType)).alias("d2_candidates_id"),
         F.when(first, F.col("result")).alias("result"),
         "status",
+        "answered_at",
     )
 
 
@@ -250,7 +488,7 @@ def compare_pick(pairs: DataFrame, judge: Judge, prompt_type: str, options: Opti
     """Log rows of the comparing mode: the whole order, its first element as the result."""
     check_prompt_mode(COMPARING, prompt_type)
     ordered = compare_sort(pairs, judge, prompt_type, options)
-    best = ordered.filter("slot = 0").select("d1_id", F.col("d2_id").alias("result"), "status")
+    best = ordered.filter("slot = 0").select("d1_id", F.col("d2_id").alias("result"), "status", "answered_at")
     return log_rows(_log_lists(best, ordered), prompt_type, options)
 
 
@@ -288,21 +526,37 @@ def select_cascade(
 
     Every candidate is matched first; the accepted ones are sorted by comparisons; the judge then picks a number
     from the sorted list, where 0 means none of them. A d1 without an accepted candidate is answered without asking.
+    A d1 with a question that failed in any of the three steps has that status.
     """
     check_prompt_mode(SELECTING, prompt_type)
     select = Asker(judge, prompt_type, options)
-    answers = match_answers(pairs, judge, matching, options).filter(F.col("answer") == "yes")
-    accepted = materialise(pairs.join(answers.select("d1_id", "pos", "d2_id"), ["d1_id", "pos", "d2_id"], "left_semi"))
-    ordered = compare_sort(accepted, judge, comparing, options)
-    chosen = materialise(select.send(_selecting_questions(ordered, options.max_tokens), ["d1_id"]))
+    texts = pairs.select(
+        "d1_id", "pos", "d2_id", "d1_text", "d2_text", F.col("d1_text").alias("record"), F.array("d2_text").alias("candidates")
+    )
+    answers = judge_batch(texts, judge, matching, options)
+    yes = F.coalesce((F.col("status") == VALID) & (F.col("answer") == "yes"), F.lit(False))
+    # The texts of accepted candidates stay with their answers, so nothing is joined back.
+    matched = materialise(
+        answers.select(
+            "d1_id", "pos", "d2_id", "status", "answered_at", yes.alias("accepted"),
+            F.when(yes, F.col("d1_text")).alias("d1_text"), F.when(yes, F.col("d2_text")).alias("d2_text"),
+        )
+    )
+    seen = matched.groupBy("d1_id").agg(F.max(F.col("status") == FAILED).alias("lost"), F.max("answered_at").alias("matched_at"))
+    whole = matched.filter("accepted").join(seen.filter("lost"), "d1_id", "left_anti")
+    ordered = compare_sort(whole, judge, comparing, options)
+    sorted_ = ordered.filter(F.col("status") != FAILED)
+    chosen = materialise(select.send(_selecting_questions(sorted_, options.max_tokens), ["d1_id"]))
     number = F.when(F.col("status") == VALID, F.col("answer").cast("int"))
     picked = chosen.withColumn("slot", number - 1).join(
-        ordered.select("d1_id", "slot", F.col("d2_id").alias("result")), ["d1_id", "slot"], "left"
+        sorted_.select("d1_id", "slot", F.col("d2_id").alias("result")), ["d1_id", "slot"], "left"
     )
+    unsorted = ordered.filter((F.col("slot") == 0) & (F.col("status") == FAILED))
+    unsorted = unsorted.select("d1_id", F.lit(None).cast(ordered.schema["d2_id"].dataType).alias("result"), "status", "answered_at")
     outcomes = (
-        pairs.select("d1_id").distinct()
-        .join(picked.select("d1_id", "result", "status"), "d1_id", "left")
-        .withColumn("status", F.coalesce("status", F.lit(VALID)))
+        seen.join(picked.select("d1_id", "result", "status", "answered_at").unionByName(unsorted), "d1_id", "left")
+        .withColumn("status", F.when(F.col("lost"), FAILED).otherwise(F.coalesce("status", F.lit(VALID))))
+        .withColumn("answered_at", F.coalesce("answered_at", "matched_at"))
     )
     return log_rows(_log_lists(outcomes, ordered), prompt_type, options)
 

@@ -54,6 +54,8 @@ RESULTS = T.StructType(
 # Metric names, answer states, modes and prompt types.
 COSINE, EUCLIDEAN = "cosine", "euclidian"
 NO_RESPONSE, INVALID, VALID = "NO_RESPONSE", "INVALID", "VALID"
+# A request that never came through: no answer state, so it is never logged and asked again.
+FAILED = "FAILED"
 MATCHING, COMPARING, SELECTING = "MATCHING", "COMPARING", "SELECTING"
 PROMPTS_BY_MODE = {
     MATCHING: ("MATCHING_PROMPT", "MATCHING_PROMPT_ONLY"),
