@@ -67,6 +67,23 @@ def test_long_lists_go_through_rounds_with_the_same_result(spark):
     assert orders(got) == {d: bubble(d, ids, fickle)[0] for d, ids in lists.items()}
 
 
+def test_long_lists_are_picked_and_selected_alike(spark, monkeypatch):
+    lists = {"a": ["91", "11", "31", "21", "7"], "b": ["51", "5"], "c": ["8", "9"], "d": ["61", "41", "1"]}
+    flows = lambda: [
+        sorted((r.d1_id, r.d2_candidates_id, r.result, r.request_status) for r in rows.collect())
+        for rows in (
+            J.compare_pick(pairs(spark, lists), answer, "COMPARING_PROMPT", OPTIONS),
+            J.select_cascade(pairs(spark, lists), answer, "SELECTING_PROMPT", OPTIONS),
+        )
+    ]
+    want = flows()
+    assert want[1] == [
+        ("a", ["11", "21", "31", "91"], "11", "VALID"), ("b", ["51"], "51", "VALID"), ("c", [], None, "VALID"), ("d", ["1", "41", "61"], "1", "VALID"),
+    ]
+    monkeypatch.setattr(J, "LONG_LIST", 2)
+    assert flows() == want
+
+
 def test_plain_helpers_equal_the_column_functions(spark):
     rng = random.Random(3)
     words = ["Record A", "record b", "The answer is", ":", " ", "  ", "\n", "is more likely to refer to the same real-world entity", "</think>", "[1]", "é", "no"]

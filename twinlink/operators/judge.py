@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinlink.functions.parse import comparing_answer, parse
 from twinlink.functions.prompts import build_prompt, fill_prompt, prompt_group, selecting_prompt
-from twinlink.functions.text import TAIL_TOKENS, truncate_text, truncate_tokens
+from twinlink.functions.text import TAIL_TOKENS, once, truncate_text, truncate_tokens
 from twinlink.operators.rank import LIST_ROWS, rank_within
 from twinlink.operators.registry import check_prompt_mode
 from twinlink.schema import COMPARING, FAILED, MATCHING, REASONING_MODEL, SELECTING, VALID
@@ -172,10 +172,11 @@ _ANSWER = [
 ]
 
 
-def judge_retry(questions: DataFrame, judge: Judge, options: Options) -> DataFrame:
+def judge_retry(questions: DataFrame, judge: Judge, options: Options, drop: Sequence[str] = ()) -> DataFrame:
     """Add the judge's raw ``response`` to every question, whether the request ``failed``, and when it came back.
 
     The response is null where the judge gave none and where the request failed; only the latter is asked again.
+    Columns to ``drop`` are shown to the judge and not sent back.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,9 +184,9 @@ def judge_retry(questions: DataFrame, judge: Judge, options: Options) -> DataFra
         for frame in frames:
             for at in range(0, len(frame), options.batch_rows):
                 part = frame.iloc[at : at + options.batch_rows].reset_index(drop=True)
-                yield pd.concat([part, line.ask(part)], axis=1)
+                yield pd.concat([part.drop(columns=list(drop)), line.ask(part)], axis=1)
 
-    return questions.mapInPandas(run, T.StructType(questions.schema.fields + _ANSWER))
+    return questions.mapInPandas(run, T.StructType([f for f in questions.schema.fields if f.name not in drop] + _ANSWER))
 
 
 class Asker:
@@ -206,7 +207,7 @@ class Asker:
     def send(self, written: DataFrame, keys: list[str]) -> DataFrame:
         """Ask what is written out in ``full_prompt``, about ``n_candidates`` candidates."""
         asked = written.select(*keys, "n_candidates", self.prompt)
-        responses = judge_retry(asked, self.judge, self.options)
+        responses = judge_retry(asked, self.judge, self.options, drop=["prompt"])
         parsed = responses.withColumn("parsed", self.parsed)
         return parsed.select(*keys, self.status, "parsed.answer", "answered_at")
 
@@ -284,24 +285,43 @@ def compare_sort(pairs: DataFrame, judge: Judge, prompt_type: str, options: Opti
     ``status`` at slot 0 is that of the last question; a list of one is valid without a question. A list with a
     question that failed has that status and is not sorted any further. ``answered_at`` is the time of the last answer.
     """
-    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    short, long = _by_size(pairs, long_list)
+    lists = sorted_lists(short, judge, prompt_type, options)
+    row = F.posexplode(F.arrays_zip("d2_ids", "d2_texts")).alias("slot", "row")
+    out = lists.select("d1_id", "d1_text", "status", "answered_at", row)
+    out = out.select("d1_id", "slot", F.col("row.d2_ids").alias("d2_id"), "d1_text", F.col("row.d2_texts").alias("d2_text"), "status", "answered_at")
+    return out if long is None else out.unionByName(_sorted_in_rounds(long, judge, prompt_type, options))
+
+
+def _by_size(pairs: DataFrame, long_list: int) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs of lists that one task sorts, and those of longer ones if there are any."""
     pairs = pairs.select("d1_id", "pos", "d2_id", "d1_text", "d2_text")
     long = pairs.groupBy("d1_id").agg(F.count("*").alias("n")).filter(F.col("n") > long_list).select("d1_id")
-    hot = not long.isEmpty()
-    short = pairs.join(long, "d1_id", "left_anti") if hot else pairs
-    lists = short.repartition(parts, "d1_id").sortWithinPartitions("d1_id", "pos", "d2_id")
-    kinds = {f.name: f for f in pairs.schema.fields}
+    if long.isEmpty():
+        return pairs, None
+    return pairs.join(long, "d1_id", "left_anti"), pairs.join(long, "d1_id", "left_semi")
+
+
+def sorted_lists(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
+    """The sorted lists as rows ``(d1_id, d1_text, d2_ids, d2_texts, status, answered_at)``, each sorted in one task."""
+    # A fixed number of partitions is not coalesced: each of them is a line to the judge.
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = pairs.select("d1_id", "pos", "d2_id", "d1_text", "d2_text")
+    lists = pairs.repartition(parts, "d1_id").sortWithinPartitions("d1_id", "pos", "d2_id")
+    kinds = {f.name: f.dataType for f in pairs.schema.fields}
     schema = T.StructType(
-        [kinds["d1_id"], T.StructField("slot", T.IntegerType()), kinds["d2_id"], kinds["d1_text"], kinds["d2_text"]]
-        + [T.StructField("status", T.StringType()), T.StructField("answered_at", T.TimestampType())]
-    )
+        [
+            T.StructField("d1_id", kinds["d1_id"]), T.StructField("d1_text", T.StringType()),
+            T.StructField("d2_ids", T.ArrayType(kinds["d2_id"])), T.StructField("d2_texts", T.ArrayType(T.StringType())),
+            T.StructField("status", T.StringType()), T.StructField("answered_at", T.TimestampType()),
+        ]
+    )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _sorted_lists(frames, Line(judge, options), prompt_type, options)
+        yield from _sort_together(frames, Line(judge, options), prompt_type, options)
 
     # A table: a second evaluation would ask the judge again.
-    out = materialise(lists.mapInPandas(run, schema))
-    return materialise(out.unionByName(_sorted_in_rounds(pairs.join(long, "d1_id", "left_semi"), judge, prompt_type, options))) if hot else out
+    return materialise(lists.mapInPandas(run, schema))
 
 
 class _Sort:
@@ -330,8 +350,8 @@ class _Sort:
         self.pending = self._round()
         return self.t > 2 * len(self.rows) - 4
 
-    def out(self) -> list[tuple]:
-        return [(self.d1_id, k, d2_id, self.d1_text, text, self.status, self.at) for k, (d2_id, text) in enumerate(self.rows)]
+    def out(self) -> tuple:
+        return self.d1_id, self.d1_text, [i for i, _ in self.rows], [text for _, text in self.rows], self.status, self.at
 
 
 def _lists(frames: Iterator[pd.DataFrame]) -> Iterator[_Sort]:
@@ -348,12 +368,11 @@ def _lists(frames: Iterator[pd.DataFrame]) -> Iterator[_Sort]:
         yield _Sort(owner, text, rows)
 
 
-def _sorted_lists(frames: Iterator[pd.DataFrame], line: Line, prompt_type: str, options: Options) -> Iterator[pd.DataFrame]:
+def _sort_together(frames: Iterator[pd.DataFrame], line: Line, prompt_type: str, options: Options) -> Iterator[pd.DataFrame]:
     waiting, active, done = _lists(frames), [], []
 
     def flush() -> pd.DataFrame:
-        columns = ["d1_id", "slot", "d2_id", "d1_text", "d2_text", "status", "answered_at"]
-        out = pd.DataFrame(done, columns=columns).astype({"slot": "int32"})
+        out = pd.DataFrame(done, columns=["d1_id", "d1_text", "d2_ids", "d2_texts", "status", "answered_at"])
         out["answered_at"] = pd.to_datetime(out["answered_at"], utc=True)
         done.clear()
         return out
@@ -365,7 +384,7 @@ def _sorted_lists(frames: Iterator[pd.DataFrame], line: Line, prompt_type: str,
             found = next(waiting, None)
             more = found is not None
             if more and len(found.rows) == 1:
-                done.extend(found.out())
+                done.append(found.out())
             elif more:
                 active.append(found)
                 size += len(found.pending)
@@ -389,12 +408,12 @@ def _sorted_lists(frames: Iterator[pd.DataFrame], line: Line, prompt_type: str,
             for s in active:
                 n = len(s.pending)
                 if s.answered(outcomes[at : at + n], times[at + n - 1]):
-                    done.extend(s.out())
+                    done.append(s.out())
                 else:
                     left.append(s)
                 at += n
             active = left
-        if len(done) >= 10 * options.batch_rows:
+        if len(done) >= options.batch_rows:
             yield flush()
     if done:
         yield flush()
@@ -487,9 +506,27 @@ def _log_lists(outcomes: DataFrame, ordered: DataFrame) -> DataFrame:
 def compare_pick(pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
     """Log rows of the comparing mode: the whole order, its first element as the result."""
     check_prompt_mode(COMPARING, prompt_type)
-    ordered = compare_sort(pairs, judge, prompt_type, options)
-    best = ordered.filter("slot = 0").select("d1_id", F.col("d2_id").alias("result"), "status", "answered_at")
-    return log_rows(_log_lists(best, ordered), prompt_type, options)
+    short, long = _by_size(pairs, LONG_LIST)
+    lists = sorted_lists(short, judge, prompt_type, options)
+    rows = _list_parts(lists.select("d1_id", F.get("d2_ids", F.lit(0)).alias("result"), "status", "answered_at", "d2_ids"))
+    if long is not None:
+        ordered = materialise(_sorted_in_rounds(long, judge, prompt_type, options))
+        best = ordered.filter("slot = 0").select("d1_id", F.col("d2_id").alias("result"), "status", "answered_at")
+        rows = rows.unionByName(_log_lists(best, ordered))
+    return log_rows(rows, prompt_type, options)
+
+
+def _list_parts(lists: DataFrame) -> DataFrame:
+    """``_log_lists`` of lists that are arrays already."""
+    last = F.greatest(F.ceil(F.size("d2_ids") / F.lit(LIST_ROWS)).cast("int") - 1, F.lit(0))
+    parts = lists.withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+    return parts.select(
+        "d1_id",
+        F.slice("d2_ids", F.col("part") * LIST_ROWS + 1, F.lit(LIST_ROWS)).alias("d2_candidates_id"),
+        F.when(F.col("part") == 0, F.col("result")).alias("result"),
+        "status",
+        "answered_at",
+    )
 
 
 def _selecting_questions(ordered: DataFrame, max_tokens: int) -> DataFrame:
@@ -542,9 +579,50 @@ def select_cascade(
             F.when(yes, F.col("d1_text")).alias("d1_text"), F.when(yes, F.col("d2_text")).alias("d2_text"),
         )
     )
-    seen = matched.groupBy("d1_id").agg(F.max(F.col("status") == FAILED).alias("lost"), F.max("answered_at").alias("matched_at"))
-    whole = matched.filter("accepted").join(seen.filter("lost"), "d1_id", "left_anti")
-    ordered = compare_sort(whole, judge, comparing, options)
+    seen = matched.groupBy("d1_id").agg(
+        F.max(F.col("status") == FAILED).alias("lost"), F.max("answered_at").alias("matched_at"), F.count_if("accepted").alias("n")
+    )
+    # One look at the sizes spares most runs the joins that set lists apart.
+    most = seen.agg(F.max("lost").alias("lost"), F.max("n").alias("n")).first()
+    whole = matched.filter("accepted")
+    if most.lost:
+        whole = whole.join(seen.filter("lost"), "d1_id", "left_anti")
+    short, long = _by_size(whole, LONG_LIST) if (most.n or 0) > LONG_LIST else (whole, None)
+    seen = seen.drop("n")
+    lists = sorted_lists(short, judge, comparing, options)
+    asked = lists.filter(F.col("status") != FAILED).select(
+        "d1_id", "d2_ids", F.size("d2_ids").alias("n_candidates"), _selecting_prompt("d1_text", "d2_texts", options.max_tokens).alias("full_prompt")
+    )
+    number = F.when(F.col("status") == VALID, F.col("answer").cast("int"))
+    chosen = select.send(asked, ["d1_id", "d2_ids"])
+    chosen = chosen.select("d1_id", "d2_ids", F.get("d2_ids", number - 1).alias("result"), "status", "answered_at")
+    lost = lists.filter(F.col("status") == FAILED).select("d1_id", "d2_ids", F.lit(None).cast(pairs.schema["d2_id"].dataType).alias("result"), "status", "answered_at")
+    chosen = materialise(chosen).unionByName(lost)
+    rows = _list_parts(_outcomes(seen, chosen).withColumn("d2_ids", F.coalesce("d2_ids", F.array().cast(chosen.schema["d2_ids"].dataType))))
+    if long is not None:
+        hot = long.select("d1_id").distinct()
+        rows = rows.join(hot, "d1_id", "left_anti").unionByName(_select_long(seen.join(hot, "d1_id", "left_semi"), long, select, judge, comparing, options))
+    return log_rows(rows, prompt_type, options)
+
+
+def _outcomes(seen: DataFrame, chosen: DataFrame) -> DataFrame:
+    """What became of every d1: chosen from a list, nothing to choose from, or failed on the way."""
+    status = F.when(F.col("lost"), FAILED).otherwise(F.coalesce("status", F.lit(VALID)))
+    both = seen.join(chosen, "d1_id", "left").withColumn("status", status)
+    return both.withColumn("answered_at", F.coalesce("answered_at", "matched_at")).drop("lost", "matched_at")
+
+
+def _selecting_prompt(record: str, texts: str, max_tokens: int) -> Column:
+    """The selecting prompt over an array, without the lines that truncation drops anyway (``_selecting_questions``)."""
+    n = F.size(texts)
+    numbered = F.transform(texts, lambda t, i: F.struct((i + 1).alias("number"), t.alias("text")))
+    seen = F.filter(numbered, lambda r: (r["number"] <= max_tokens) | (r["number"] > n - TAIL_TOKENS))
+    return once(seen, lambda rows: selecting_prompt(record, rows["text"], rows["number"]))
+
+
+def _select_long(seen: DataFrame, pairs: DataFrame, select: Asker, judge: Judge, comparing: str, options: Options) -> DataFrame:
+    """The end of the cascade for lists too long for one row."""
+    ordered = materialise(_sorted_in_rounds(pairs, judge, comparing, options))
     sorted_ = ordered.filter(F.col("status") != FAILED)
     chosen = materialise(select.send(_selecting_questions(sorted_, options.max_tokens), ["d1_id"]))
     number = F.when(F.col("status") == VALID, F.col("answer").cast("int"))
@@ -553,12 +631,7 @@ def select_cascade(
     )
     unsorted = ordered.filter((F.col("slot") == 0) & (F.col("status") == FAILED))
     unsorted = unsorted.select("d1_id", F.lit(None).cast(ordered.schema["d2_id"].dataType).alias("result"), "status", "answered_at")
-    outcomes = (
-        seen.join(picked.select("d1_id", "result", "status", "answered_at").unionByName(unsorted), "d1_id", "left")
-        .withColumn("status", F.when(F.col("lost"), FAILED).otherwise(F.coalesce("status", F.lit(VALID))))
-        .withColumn("answered_at", F.coalesce("answered_at", "matched_at"))
-    )
-    return log_rows(_log_lists(outcomes, ordered), prompt_type, options)
+    return _log_lists(_outcomes(seen, picked.select("d1_id", "result", "status", "answered_at").unionByName(unsorted)), ordered)
 
 
 def run_mode(mode: str, pairs: DataFrame, judge: Judge, prompt_type: str, options: Options) -> DataFrame:
