@@ -33,26 +33,27 @@ def near(a, b, edits):
 
 
 def brute(docs, edits=2, min_chars=20):
-    """docs: list of (id, text). Rows (id, number of lines, removed line numbers)."""
+    """docs: list of (id, text). Rows (id, number of lines, number of removed ones, their numbers).
+
+    Of lines of fewer than ``min_chars`` characters only equal ones repeat each other; empty lines stay."""
     first = {}
-    places = []
     for i, text in docs:
         for n, line in enumerate(text.split("\n")) if text is not None else ():
-            if len(line) >= min_chars:
-                at = (i is None, i or 0, n)
-                first[line] = min(at, first.get(line, at))
-                places.append((line, at))
+            at = (i is None, i or 0, n)
+            first[line] = min(at, first.get(line, at))
     by_length = {}
     for line in first:
-        by_length.setdefault(len(line), []).append(line)
-    earliest = {}
+        if len(line) >= min_chars:
+            by_length.setdefault(len(line), []).append(line)
+    earliest = dict(first)
     for line, at in first.items():
-        others = [o for d in range(-edits, edits + 1) for o in by_length.get(len(line) + d, ()) if first[o] < at and near(line, o, edits)]
-        earliest[line] = min([at, *(first[o] for o in others)])
+        if len(line) >= min_chars:
+            others = [o for d in range(-edits, edits + 1) for o in by_length.get(len(line) + d, ()) if first[o] < at and near(line, o, edits)]
+            earliest[line] = min([at, *(first[o] for o in others)])
     out = []
     for i, text in docs:
         lines = text.split("\n") if text is not None else []
-        gone = [n for n, x in enumerate(lines) if len(x) >= min_chars and earliest[x] < (i is None, i or 0, n)]
+        gone = [n for n, x in enumerate(lines) if x and earliest[x] < (i is None, i or 0, n)]
         out.append((i, len(lines), len(gone), ",".join(map(str, gone))))
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
 
@@ -140,3 +141,18 @@ def test_sketches_of_near_lines_agree(spark):
     first = df.where(F.col("t") == texts[0]).select(F.col("s").alias("f"))
     agree = {r.t: r.ok for r in df.join(first).select("t", line_dedup.sketches_agree(F.col("s"), F.col("f"), 1).alias("ok")).collect()}
     assert [agree[t] for t in texts] == [True, True, True, False, True]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_equal_short_lines_go_and_near_ones_stay(spark, edits):
+    nineteen, twenty = "n" * 19, "n" * 20
+    docs = [
+        (1, "Home\n\nHome\nHome "), (2, f"home\nHome\n\n \n{nineteen}\n{twenty}"), (3, f"x\n{nineteen}\n{nineteen}q\n{twenty}\n \nHomf"),
+        (4, None), (5, ""), (None, "x\nHome\ny"), (None, "y"),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    out = line_dedup.removed_lines(df, edits=edits)
+    got = rows(out.select("doc_id", "n_lines", F.size("removed"), F.array_join("removed", ",")))
+    assert got == brute(docs, edits)
+    assert (1, 4, 1, "2") in got and (2, 6, 1, "1") in got and (3, 6, 4, "1,2,3,4") in got
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(df, edits=edits).collect()}[3] == "x\nHomf"
