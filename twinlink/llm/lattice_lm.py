@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlink.llm.sentencepiece_codec import SPACE, Vocabulary
-from twinlink.llm.texts import Words, packs, raw_texts
+from twinlink.llm.texts import Words, packs, raw_texts, send_by_value
 from twinlink.session import materialise
 
 #: Words whose counts are sent to all tasks, the most frequent ones; the others meet theirs in a join.
@@ -226,8 +226,9 @@ def lattice_scores(
         least, left = row["c"], left - row["n"]
     often = counts.where(F.col("c") >= least).select("h", "c", "lat").toPandas().sort_values("h", key=lambda h: h.astype("uint64"))
     end_log = Lattice(vocabulary, weights).end
-    shared = session.sparkContext.broadcast(
-        (often["h"].to_numpy().astype(np.int64).view(np.uint64), often["c"].to_numpy(dtype=np.float64), often["lat"].to_numpy(dtype=np.float64), prior, ends, end_log)
+    shared = send_by_value(
+        session,
+        (often["h"].to_numpy().astype(np.int64).view(np.uint64), often["c"].to_numpy(dtype=np.float64), often["lat"].to_numpy(dtype=np.float64), prior, ends, end_log),
     )
     scanned = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
         _scan(shared), f"row long, id {source.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens long, known long, base double, "
@@ -255,7 +256,7 @@ def _scan(shared):
     """For each text what its end and its frequent words add to the scores under each concentration, and its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts, lattice, prior, ends, end_log = shared.value
+        hashes, counts, lattice, prior, ends, end_log = shared()
         end_p = prior.log_p(np.array([float(ends)]), np.array([end_log]))
         end_less = prior.log_p(np.array([ends - 1.0]), np.array([end_log]))
         end_base = math.log10((ends + 0.5) / prior.base)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import cloudpickle
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,6 +122,12 @@ def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     return mix(parts[:count] * np.uint64(0x9FB21C651E98DF25) + parts[length - half : length - half + count] + np.uint64(length))
 
 
+def send_by_value(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A broadcast that tasks can open without this package: its classes travel with it. ``value`` is of bounded size."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(shared.value)
+
+
 def frames(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One record batch for each row, for rows that are large."""
     for row in rows:
