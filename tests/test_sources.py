@@ -165,3 +165,30 @@ def test_another_layout_fails(spark, tmp_path):
         files.scan_pairs_json(spark, str(pairs), "entries").collect()
     with pytest.raises(Exception, match="not an entry"):
         files.scan_records_json(spark, str(records), "compact").collect()
+
+
+def test_names_are_those_of_the_header(spark, tmp_path):
+    path = tmp_path / "buy.csv"
+    path.write_text("id|title|price\n1|a|2\n2|b|3\n")
+    assert files.scan_entities(spark, str(path)).columns == ["id", "title", "price"]
+    assert files.attribute_columns(files.scan_entities(spark, str(path), with_position=True)) == ["title", "price"]
+    assert rows(files.scan_entities(spark, str(path), ["id", "title", "price"])) == [("1", "a", "2"), ("2", "b", "3")]
+    for wrong in (["title", "id", "price"], ["id", "name", "price"], ["id", "title"], ["id", "title", "price", "more"]):
+        with pytest.raises(Exception, match="(?i)header|schema"):
+            files.scan_entities(spark, str(path), wrong).collect()
+
+
+def test_every_file_has_the_header(spark, tmp_path):
+    folder = tmp_path / "buy"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id|title\n1|a\n")
+    (folder / "b.csv").write_text("title|id\nb|2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.scan_entities(spark, str(folder), ["id", "title"]).collect()
+
+
+def test_a_ground_truth_has_two_columns(spark, tmp_path):
+    path = tmp_path / "gt.csv"
+    path.write_text("left|right|score\n1|a|0.5\n")
+    with pytest.raises(ValueError):
+        files.scan_ground_truth(spark, str(path))

@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinlink.functions.text import instruct_prefix
+from twinlink.functions.text import WORD, instruct_prefix, once
 from twinlink.operators.resume import resume_embeddings, resume_task_embeddings
 from twinlink.schema import EMBEDDING_MODELS
+from twinlink.session import materialise
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -30,7 +31,7 @@ FIXED_TASKS = {"KiteFishAI/Nano-Em1-0.6B-v2.1": "Retrieve semantically similar t
 
 
 def encode(texts: DataFrame, factory: Callable[[], Encoder], batch_rows: int = 256) -> DataFrame:
-    """Replace ``text`` by ``embeddings``."""
+    """Replace ``text`` by ``embeddings`` and ``created_at``, the time at which the encoder gave the batch back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = None
@@ -39,11 +40,11 @@ def encode(texts: DataFrame, factory: Callable[[], Encoder], batch_rows: int = 2
                 encoder = encoder or factory()
                 part = frame.iloc[at : at + batch_rows]
                 vectors = np.asarray(encoder(part["text"].tolist()), dtype=np.float32)
-                yield part.drop(columns="text").assign(embeddings=list(vectors))
+                yield part.drop(columns="text").assign(embeddings=list(vectors), created_at=pd.Timestamp.now(tz="UTC"))
 
     keys = [f for f in texts.schema.fields if f.name != "text"]
-    vector = T.StructField("embeddings", T.ArrayType(T.FloatType()))
-    return texts.select(*[f.name for f in keys], "text").mapInPandas(run, T.StructType(keys + [vector]))
+    made = [T.StructField("embeddings", T.ArrayType(T.FloatType())), T.StructField("created_at", T.TimestampType())]
+    return texts.select(*[f.name for f in keys], "text").mapInPandas(run, T.StructType(keys + made))
 
 
 def word_hash_encoder(dim: int = 32) -> Encoder:
@@ -63,8 +64,36 @@ def word_hash_encoder(dim: int = 32) -> Encoder:
     return encode_texts
 
 
+#: Places of the built-in encoder, each with a letter of its own.
+HASHED_DIM = 32
+_LETTERS = [chr(ord("A") + i) for i in range(HASHED_DIM)]
+
+
 def hashed_words(texts: DataFrame) -> DataFrame:
-    return encode(texts, word_hash_encoder)
+    """``word_hash_encoder`` in built-in functions, without a Python worker; a null text is an empty one.
+
+    Every word becomes the letter of its place, so that the counts of a text are differences of string lengths.
+    """
+    places = F.create_map(*[x for i, c in enumerate(_LETTERS) for x in (F.lit(i), F.lit(c))])
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0))
+    letter = lambda w: places[F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(HASHED_DIM))]
+    spelled = F.array_join(F.transform(words, letter), "")
+
+    def counts(s: Column) -> Column:
+        return F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))).cast("float") for c in _LETTERS])
+
+    others = [c for c in texts.columns if c != "text"]
+    return texts.select(*others, once(spelled, counts).alias("embeddings"), _now().alias("created_at"))
+
+
+def _now() -> Column:
+    """The clock of the executor at this row; ``current_timestamp`` is one value for a whole query."""
+    return F.timestamp_millis(F.expr("reflect('java.lang.System', 'currentTimeMillis')").cast("long"))
+
+
+def _created(vectors: DataFrame) -> Column:
+    """When an encoder made a vector; one that does not say gets the time of the query."""
+    return F.col("created_at") if "created_at" in vectors.columns else F.current_timestamp()
 
 
 def model_text(model: str, text: Column | str) -> Column:
@@ -84,7 +113,7 @@ def embed_records(
         F.col("record_id").cast("string").alias("record_id"),
         F.lit(dataset).alias("dataset"),
         "embeddings",
-        F.current_timestamp().alias("created_at"),
+        _created(vectors).alias("created_at"),
         F.lit(model).alias("model"),
     )
 
@@ -114,19 +143,32 @@ def embed_with_task(
     done: DataFrame | None = None,
     task: str = TASK,
 ) -> DataFrame:
-    """Rows for the task-embedding table; a d1 that ``done`` holds is skipped with all its candidates."""
+    """Rows for the task-embedding table; a d1 that ``done`` holds is skipped with all its candidates.
+
+    A text is encoded once, in however many lists its record stands; the vectors are joined to the lists afterwards.
+    """
     todo = pairs if done is None else resume_task_embeddings(pairs, done, model)
-    vectors = to_vectors(task_texts(todo, d1_records, d2_records, task))
+    keyed = task_texts(todo, d1_records, d2_records, task)
+    vectors = encode_distinct(keyed, ["is_d2", "record_id"], to_vectors)
+    vectors = keyed.select("d1_reference_id", "record_id", "is_d2").join(vectors, ["is_d2", "record_id"])
     return vectors.select(
         F.col("d1_reference_id").cast("string").alias("d1_reference_id"),
         F.col("record_id").cast("string").alias("record_id"),
         "is_d2",
         "embeddings",
-        F.current_timestamp().alias("created_at"),
+        _created(vectors).alias("created_at"),
         F.lit(model).alias("model"),
     )
 
 
+def encode_distinct(keyed: DataFrame, keys: list[str], to_vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One vector for each of the ``keys``, whose text is the same wherever they stand; equal texts are encoded once."""
+    named = keyed.select(*keys, "text").dropDuplicates(keys)
+    # A table: an encoder is too dear to be run again for a lost task of the join.
+    encoded = materialise(to_vectors(named.select(F.col("text").alias("record_id"), "text").dropDuplicates(["record_id"])))
+    return named.join(encoded.withColumnRenamed("record_id", "text"), "text").drop("text")
+
+
 def loader_family(model: str) -> str:
     """How a model is loaded: by token model, by sentence model, or by its vendor's own library."""
     for _, name, family in EMBEDDING_MODELS:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def mean_pool(tokens: DataFrame) -> DataFrame:
-    """Mean over all token vectors, padding included, one partial aggregate per (record, dimension)."""
-    cells = tokens.select("record_id", F.posexplode("vec").alias("dim", "x"))
-    means = cells.groupBy("record_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    row = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return means.groupBy("record_id").agg(row.alias("row")).select("record_id", F.col("row.x").alias("embeddings"))
+    """Mean over all token vectors, padding included.
+
+    A vector-valued partial aggregate: each task sends one sum for a record, so the tokens of a long one are summed in
+    many tasks and no row is made for a single component. Null vectors are left out.
+    """
+    vectors = tokens.filter(F.col("vec").isNotNull()).select("record_id", array_to_vector(F.col("vec").cast("array<double>")).alias("vec"))
+    means = vectors.groupBy("record_id").agg(Summarizer.mean(F.col("vec")).alias("mean"))
+    return means.select("record_id", vector_to_array("mean").alias("embeddings"))
 
 
 def last_token_pool(tokens: DataFrame) -> DataFrame:

@@ -66,11 +66,11 @@ def score_candidates(
     d2 = d2_vectors.select(*on, F.col("record_id").alias("d2_id"), F.col("embeddings").alias("_v2"))
     # Distinct pairs meet their d1 vector first; AQE splits a d1 or d2 that is listed very often.
     joined = pairs.join(d1, "d1_id", "left").join(d2, [*on, "d2_id"], "left")
-    joined = joined.withColumns({"_v1": _present("_v1", "d1_id"), "_v2": _present("_v2", "d2_id")})
+    joined = joined.withColumns({"_v1": present("_v1", "d1_id"), "_v2": present("_v2", "d2_id")})
     return joined.select(*on, "d1_id", "d2_id", "pos", score(metric, "_v1", "_v2").alias("score"))
 
 
-def _present(vector: str, side: str) -> Column:
+def present(vector: str, side: str) -> Column:
     """The vector of a listed record; one that has none fails the query instead of leaving the list."""
     message = F.concat(F.lit(f"no vector for {side} "), F.col(side).cast("string"))
     return F.coalesce(F.col(vector), F.raise_error(message).cast("array<float>"))
@@ -103,7 +103,7 @@ def task_scores(pairs: DataFrame, task_vectors: DataFrame, metric: str) -> DataF
         F.col("d1_reference_id").alias("d1_id"), F.col("record_id").alias("d2_id"), F.col("embeddings").alias("_v2")
     )
     joined = pairs.join(d2, ["d1_id", "d2_id"], "left").join(d1, "d1_id", "left")
-    joined = joined.withColumns({"_v1": _present("_v1", "d1_id"), "_v2": _present("_v2", "d2_id")})
+    joined = joined.withColumns({"_v1": present("_v1", "d1_id"), "_v2": present("_v2", "d2_id")})
     return joined.select("d1_id", "d2_id", "pos", score(metric, "_v1", "_v2").alias("score"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from twinlink.functions.text import serialize_record
 from twinlink.operators.knn import reciprocal_knn
+from twinlink.operators.knn_approx import lsh_reciprocal_knn
 from twinlink.operators.pairs import with_position
 from twinlink.schema import EUCLIDEAN
 from twinlink.session import materialise
@@ -27,10 +28,17 @@ class Blocks:
 
 
 def candidate_pairs(
-    d1: DataFrame, d2: DataFrame, to_vectors: Callable[[DataFrame], DataFrame], k: int = 10, metric: str = EUCLIDEAN
+    d1: DataFrame,
+    d2: DataFrame,
+    to_vectors: Callable[[DataFrame], DataFrame],
+    k: int = 10,
+    metric: str = EUCLIDEAN,
+    approximate: bool = False,
 ) -> DataFrame:
     """``(d1_id, pos, d2_id)`` of records that are among each other's ``k`` nearest by their vectors.
 
+    The join is exact unless ``approximate``, which may miss neighbours that share no hash bucket.
+
     The entity tables carry unique ids in their first column. Vectors are written once, since the join reads them
     more than once; a list is ordered by distance, then by id.
     """
@@ -40,7 +48,7 @@ def candidate_pairs(
         texts = entities.select(F.col(entities.columns[0]).alias("record_id"), text.alias("text"))
         return materialise(to_vectors(texts))
 
-    found = reciprocal_knn(
+    found = (lsh_reciprocal_knn if approximate else reciprocal_knn)(
         vectors(d1).withColumnRenamed("record_id", "d1_id"),
         vectors(d2).withColumnRenamed("record_id", "d2_id"),
         k,
@@ -52,10 +60,16 @@ def candidate_pairs(
 
 
 def run_blocking(
-    d1: DataFrame, d2: DataFrame, to_vectors: Callable[[DataFrame], DataFrame], folder: str, k: int = 10, metric: str = EUCLIDEAN
+    d1: DataFrame,
+    d2: DataFrame,
+    to_vectors: Callable[[DataFrame], DataFrame],
+    folder: str,
+    k: int = 10,
+    metric: str = EUCLIDEAN,
+    approximate: bool = False,
 ) -> Blocks:
     """Find the pairs and write pairs and record texts below ``folder``; the tables carry their row positions."""
-    pairs = materialise(candidate_pairs(d1, d2, to_vectors, k, metric))
+    pairs = materialise(candidate_pairs(d1, d2, to_vectors, k, metric, approximate))
     out = Blocks(pairs, f"{folder}/pairs.json", f"{folder}/d1_records.json", f"{folder}/d2_records.json")
     sink_pairs(pairs, out.pairs_path)
     sink_records(d1, pairs.select("d1_id"), out.d1_records_path)

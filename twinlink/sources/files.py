@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,16 +26,31 @@ def _file_position() -> Column:
 
 
 def scan_entities(
-    spark: SparkSession, path: str, columns: list[str], sep: str = "|", with_position: bool = False, multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    columns: list[str] | None = None,
+    sep: str = "|",
+    with_position: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A delimited entity table with a header; every column is read as a string and the first one is the id.
 
-    Quoted values may hold separators and doubled quotes, and line breaks if ``multi_line`` is set. A file with such
-    line breaks cannot be split among tasks; keep a large one as Parquet.
+    The names are those of the header; ``columns`` that are not the header's, in its order, fail the query, in every
+    file. Quoted values may hold separators and doubled quotes, and line breaks if ``multi_line`` is set. A file with
+    such line breaks cannot be split among tasks; keep a large one as Parquet.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True)
-    df = reader.option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path)
+    reader = _delimited(spark, sep, multi_line)
+    if columns is None:
+        columns = reader.csv(path).columns
+    return _named(reader.option("enforceSchema", False), path, columns, with_position)
+
+
+def _delimited(spark: SparkSession, sep: str, multi_line: bool) -> DataFrameReader:
+    return spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+
+def _named(reader: DataFrameReader, path: str, columns: list[str], with_position: bool) -> DataFrame:
+    df = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
     return df.withColumn(ROW_POS, _file_position()) if with_position else df
 
 
@@ -45,8 +60,15 @@ def attribute_columns(entities: DataFrame) -> list[str]:
 
 
 def scan_ground_truth(spark: SparkSession, path: str, sep: str = "|") -> DataFrame:
-    """Two columns as ``(d1_id, d2_id)``; of several rows for a d1 the last one in the file counts."""
-    rows = scan_entities(spark, path, ["d1_id", "d2_id"], sep, with_position=True)
+    """Two columns as ``(d1_id, d2_id)``, whatever their header; of several rows for a d1 the last one in the file counts.
+
+    A file with another number of columns fails.
+    """
+    reader = _delimited(spark, sep, multi_line=False)
+    header = reader.csv(path).columns
+    if len(header) != 2:
+        raise ValueError(f"a ground truth has two columns, not {header}")
+    rows = _named(reader.option("enforceSchema", False), path, header, with_position=True).toDF("d1_id", "d2_id", ROW_POS)
     return rows.groupBy("d1_id").agg(F.max_by("d2_id", ROW_POS).alias("d2_id"))
 
 
