@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlink.llm.texts import Words, mix, packs, raw_texts
+from twinlink.llm.texts import Words, packs, raw_texts, send_by_value
 from twinlink.session import materialise
 
 #: Labelled documents of each class that the models are made of, and bytes of text tokenised at once.
@@ -80,14 +80,21 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", i
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).cast("string").alias("text")
     )
-    ids = rows.select("id", "label").where("id is not null")
+    return _fit(rows.select("id", "label"), lambda chosen: rows.join(chosen, ["id", "label"], "left_semi"), max_rows)
+
+
+def _fit(marks: DataFrame, texts_of: Callable[[DataFrame], DataFrame], max_rows: int) -> Model:
+    """``marks`` are the ``(id, label)`` of the labelled rows; ``texts_of`` gives ``(id, label, text)`` of the chosen ones."""
+    ids = marks.where("id is not null")
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return _empty(np.log(share / (1 - share)))
     order = F.xxhash64("id")
     chosen = ids.where("label = 0").orderBy(order, "id").limit(max_rows).union(ids.where("label = 1").orderBy(order, "id").limit(max_rows))
-    sample = materialise(rows.join(chosen.distinct(), ["id", "label"], "left_semi").withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(FOLDS))))
+    # At most twice max_rows ids go to the tasks that read the texts, so no other text is shuffled.
+    sample = texts_of(F.broadcast(chosen.distinct()))
+    sample = materialise(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(FOLDS))))
     model = _counted(sample.where("fold != 0"))
     held = sample.where("fold = 0").select("label", "text").mapInArrow(_ratios(model), "label int, ratio double").toPandas()
     labels = held["label"].to_numpy()
@@ -205,33 +212,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, share: float) -
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` (0 to 1) of every row; a null text is scored as an empty one, by the classes' shares."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample it is made of
+    shared = send_by_value(docs.sparkSession, model)  # bounded by the sample it is made of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
             texts = [t.lower() for t in raw_texts(batch.column("text"))]
-            parts = [shared.value.scores(texts[lo:hi]) for lo, hi in packs(texts, PACK_BYTES)]
+            parts = [model.scores(texts[lo:hi]) for lo, hi in packs(texts, PACK_BYTES)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.concatenate([*parts, np.empty(0)]))], ["id", "score"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """The model of the labelled documents whose id is not ``held_out`` (a function of the id column)."""
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("toxic")).where("id is not null and toxic is not null").distinct()
+    """The model of the labelled documents whose id is not ``held_out`` (a function of the id column).
+
+    The sample is chosen from the ids alone. An id with several documents or with both labels counts with each of them.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").distinct()
     marks = marks.where(~held_out(F.col("id")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return fit(rows.join(marks, "id"), "text", "toxic", "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return _fit(rows.select("id").join(marks, "id"), lambda chosen: rows.join(chosen, "id").select("id", "label", "text"), MAX_ROWS)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, unchanged, whose text scores below ``threshold``; nothing is shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = send_by_value(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
             texts = [t.lower() for t in raw_texts(batch.column(text_col))]
-            parts = [shared.value.scores(texts[lo:hi]) for lo, hi in packs(texts, PACK_BYTES)]
+            parts = [model.scores(texts[lo:hi]) for lo, hi in packs(texts, PACK_BYTES)]
             yield batch.filter(pa.array(np.concatenate([*parts, np.empty(0)]) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
