@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlink.llm.sentencepiece_codec import Vocabulary
+from twinlink.session import materialise
 
 #: Lengths in a range of the histogram; suffix sums run over ranges first and inside each range then.
 RANGE = 1024
@@ -36,7 +37,8 @@ def length_histogram(lengths: DataFrame, length_col: str = "n_tokens") -> DataFr
     the share of documents no longer. Null lengths are left out; without rows there are none.
     """
     counts = lengths.where(F.col(length_col).isNotNull()).groupBy(F.col(length_col).cast("long").alias("n_tokens"))
-    counts = counts.agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    # A table, read twice below: lengths may come from an encoder that should run once.
+    counts = materialise(counts.agg(F.count("*").alias("n_docs"))).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     tokens = F.col("n_tokens") * F.col("n_docs")
     ranges = counts.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     # One row per range that occurs: a table as long as the longest text divided by RANGE.
