@@ -172,7 +172,8 @@ def removed_lines(
         raise ValueError("a line must have a character for each segment")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     split = F.split("text", "\n")
-    exploded = source.select("id", F.xxhash64("text").alias("text_hash"), F.posexplode(split).alias("line", "body"))
+    hashed = source.select("*", F.xxhash64("text").alias("text_hash"))  # once for a text, not for each of its lines
+    exploded = hashed.select("id", "text_hash", F.posexplode(split).alias("line", "body"))
     lines = (
         exploded.withColumn("chars", F.length("body"))
         .where(F.col("chars") > 0)
@@ -214,14 +215,13 @@ def removed_lines(
 def _classes(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     """One row per different line: its hashes, first place, number of places and keys; short lines have no keys."""
     body, chars = F.col("body"), F.col("chars")
-    long = lambda c: F.when(chars >= min_chars, c)
-    keyed = lines.select(
-        "h1", "h2", "at", long(sketch(body)).alias("sketch"), long(F.array(*index_keys(body, chars, edits))).alias("index"),
-        long(F.array(*probe_keys(body, chars, edits))).alias("probe"),
+    long = lambda c: F.first(F.when(chars >= min_chars, c))
+    # Inside the aggregates, so that a task computes them for the first of equal lines only, and in methods short enough
+    # to be compiled; in a step before the grouping all keys would be one long method.
+    return lines.groupBy("h1", "h2").agg(
+        F.min("at").alias("first"), F.count("*").alias("n"), long(sketch(body)).alias("sketch"),
+        long(F.array(*index_keys(body, chars, edits))).alias("index"), long(F.array(*probe_keys(body, chars, edits))).alias("probe"),
     )
-    return keyed.groupBy("h1", "h2").agg(
-        F.min("at").alias("first"), F.count("*").alias("n"), F.first("sketch").alias("sketch"), F.first("index").alias("index"), F.first("probe").alias("probe")
-    )
 
 
 def _links(classes: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
