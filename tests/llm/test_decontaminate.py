@@ -70,15 +70,30 @@ def test_odd_rows(tables, longs, monkeypatch):
 
 
 def test_removal(tables):
+    """Each row is judged by its own text: id 4 has a hit in one of its rows, and so has the row without an id."""
     docs_df, items_df, docs, items = tables
     kept = decontaminate.drop_contaminated(docs_df, items_df)
     assert kept.columns == docs_df.columns
-    hit = {r[0] for r in brute(docs, items) if r[2]}
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(i or 0 for i, _ in docs if i is None or i not in hit)
+    want = [d for d in docs if not brute([d], items)[0][2]]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert (4, "other words") in want and not any(i is None for i, _ in want)
     clean = {r.doc_id: r.clean_text for r in decontaminate.remove_spans(docs_df, items_df).collect()}
     assert clean[5] == "zero end" and clean[8] == "É 10 x" and clean[7] == "" and clean[1] == ""
 
 
+def test_removal_where_rows_share_an_id(spark):
+    line = "one two three four five six seven eight nine ten"
+    docs = [(1, "a " + line), (1, line + " b"), (1, "a b c d e f g h i j k"), (None, line), (None, "x y"), (None, "x y")]
+    docs_df = spark.createDataFrame([(*d, 5, "z") for d in docs], "doc_id long, text string, row_key int, id string")
+    items_df = spark.createDataFrame([("i", line)], "item_id string, text string")
+    clean = decontaminate.remove_spans(docs_df, items_df).collect()
+    want = [(1, "a"), (1, "b"), (1, "a b c d e f g h i j k"), (None, ""), (None, "x y"), (None, "x y")]
+    assert sorted(map(tuple, clean), key=repr) == sorted(want, key=repr)
+    kept = decontaminate.drop_contaminated(docs_df, items_df)
+    assert kept.columns == docs_df.columns
+    assert sorted((r.text, r.row_key, r.id) for r in kept.collect()) == [("a b c d e f g h i j k", 5, "z"), ("x y", 5, "z"), ("x y", 5, "z")]
+
+
 def test_no_rows(tables):
     docs_df, items_df, docs, _ = tables
     assert decontaminate.contamination(docs_df.where("false"), items_df).count() == 0

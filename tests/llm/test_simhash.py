@@ -67,6 +67,24 @@ def test_odd_rows(spark):
     assert simhash.keep_first(docs).columns == docs.columns
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Also of rows that share the smallest id, and of groups without any id."""
+    texts = [
+        (5, "one two three four five"), (5, "ONE two three four five"), (7, "one two three four five"), (None, "one two three four five"),
+        (8, "quite another text of more words"), (8, "quite another text of more words"), (None, "no id here"), (None, "no id here"),
+        (9, None), (2, ""), (9, " "), (8, "a third one, under an id that stands elsewhere as well"),
+    ]
+    docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, at string, row_key int").repartition(3)
+    kept = simhash.keep_first(docs)
+    assert kept.schema == docs.schema
+    got = sorted((repr(r.doc_id), (r.text or "").lower()) for r in kept.collect())
+    groups = {}
+    for i, t in texts:
+        groups.setdefault(brute_print(t), []).append((i is None, i or 0, repr(i), (t or "").lower()))
+    assert got == sorted(min(g)[2:] for g in groups.values())
+    assert simhash.keep_first(docs.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("node_rows", [2048, 8])
 def test_links_of_random_families(spark, node_rows):
     """Families of fingerprints around a centre, some chained, so that fronts are shared; with small nodes the join is walked."""

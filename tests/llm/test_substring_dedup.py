@@ -82,3 +82,13 @@ def test_other_lengths(odd):
     for k in (1, 2, 6):
         got = rows(substring_dedup.repeated_words(odd, min_words=k, max_words=k).drop("longest"))
         assert got == [r[:4] for r in brute(docs, k)]
+
+
+def test_large_ids_next_to_null_ones(spark):
+    """Ids that doubles cannot hold, in one block with a null id."""
+    text, big = " ".join(f"w{i}" for i in range(20)), 1 << 60
+    docs = [(big + 3, text), (big + 1, text), (None, text), (-big - 1, "x " + text), (None, None), ((1 << 63) - 2, "y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = rows(substring_dedup.repeated_words(df))
+    assert got == brute(docs)
+    assert {r[0]: r[2] for r in got if r[0] is not None} == {big + 3: 20, big + 1: 20, -big - 1: 0, (1 << 63) - 2: 0}

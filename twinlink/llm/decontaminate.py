@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinlink.llm.texts import ascii_lower
+from twinlink.llm.texts import ascii_lower, with_row_key
 from twinlink.session import materialise
 
 #: What separates words: all of ASCII but digits and lower-case letters.
@@ -153,19 +153,21 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose id has a hit, columns unchanged; rows with a null id stay."""
-    hit = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti")
+    """``docs`` without the rows that have a hit, columns unchanged. Each row is judged by its own text, whatever its id."""
+    keyed, key = with_row_key(docs)
+    hit = contamination(keyed, items, key, text_col, **options).where("n_hit > 0").select(key)
+    return keyed.join(hit, key, "left_anti").select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``id_col`` and ``clean_text``: the lower-case words outside every hit, joined by one space, a row per row of ``docs``.
 
-    Rows that share an id are cleaned by the spans of that id and the same number of words.
+    Each row is cleaned by its own spans, also where rows share an id or have none.
     """
-    spans = contamination(docs, items, id_col, text_col, **options).where("n_hit > 0").select(id_col, "n_words", "spans").distinct()
-    worded = docs.select(F.col(id_col), item_words(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long"))
-    joined = worded.join(spans, [id_col, "n_words"], "left")
+    keyed, key = with_row_key(docs)
+    spans = contamination(keyed, items, key, text_col, **options).where("n_hit > 0").select(F.col(key).alias("hit_row"), "spans")
+    worded = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("row"), item_words(F.col(text_col)).alias("words"))
+    joined = worded.join(spans, F.col("row") == F.col("hit_row"), "left")
     inside = lambda i: F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["size"]))
     kept = F.when(F.col("spans").isNull(), F.col("words")).otherwise(F.filter("words", lambda w, i: ~inside(i)))
-    return joined.select(id_col, F.array_join(kept, " ").alias("clean_text"))
+    return joined.select(F.col("id").alias(id_col), F.array_join(kept, " ").alias("clean_text"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlink.llm.components import connected_components
+from twinlink.llm.texts import with_row_key
 from twinlink.session import materialise
 
 SEED = 42
@@ -243,17 +244,28 @@ def simhash_groups(
     row by fingerprint before anything is joined, and no table of links leaves the executors.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("first"))
+    groups = _groups(prints, F.min(id_col), F.min("first"), max_distance)
+    return prints.join(groups.withColumnRenamed("first", "component_id"), "fp").select(id_col, "fp", "component_id")
+
+
+def _groups(prints: DataFrame, least: Column, least_of_firsts: Column, max_distance: int) -> DataFrame:
+    """``fp`` and ``first``, the least of the group's rows: ``least`` over rows, ``least_of_firsts`` over fingerprints."""
+    firsts = prints.groupBy("fp").agg(least.alias("first"))
     roots = link_fingerprints(prints, max_distance)
-    by_print = least.join(roots, least.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    by_print = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     by_print = materialise(by_print)
-    groups = by_print.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = by_print.join(groups, "root").select("fp", "component_id")
-    return prints.join(member, "fp").select(id_col, "fp", "component_id")
+    return by_print.select("fp", "root").join(by_print.groupBy("root").agg(least_of_firsts.alias("first")), "root").select("fp", "first")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """The documents without all but the first of each group, with their columns; rows with a null id stay."""
-    groups = simhash_groups(docs, id_col, text_col, shingle, max_distance)
-    extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(extra, id_col, "left_anti")
+    """One row of each group, with its columns: the one with the smallest id, and null ids come after all others.
+
+    Rows are told apart by a number of their own, so of rows that share the smallest id, or of a group without ids, one
+    stays as well.
+    """
+    keyed, key = with_row_key(docs)
+    at = F.struct(F.col(id_col).isNull().alias("unknown"), F.col(id_col).alias("id"), F.col(key).alias("row"))
+    placed = keyed.select(at.alias("at"), F.col(text_col).alias("text"))
+    groups = _groups(materialise(fingerprints(placed, "at", "text", shingle)), F.min("at"), F.min("first"), max_distance)
+    first = groups.select(F.col("first.row").alias(key)).distinct()
+    return keyed.join(first, key, "left_semi").select(*docs.columns)

@@ -22,7 +22,7 @@ BUCKET_BYTES = 1 << 24
 #: The first level compares this many bits; what agrees by chance falls at the next, which compares 64.
 SCREEN_BITS = 48
 
-BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
+BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("nulls", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("body", pa.binary())])
 
 
 def repeated_words(
@@ -68,27 +68,30 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ids, texts = batch.column("id").to_pylist(), raw_texts(batch.column("text"))
             for lo, hi in packs(texts, BLOCK_BYTES):
                 body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts[lo:hi]))
-                row = {"block": number, "ids": ids[lo:hi], "sizes": [len(t) for t in texts[lo:hi]], "body": body}
+                # A null among the ids would make pandas turn them into doubles.
+                known = [0 if x is None else x for x in ids[lo:hi]]
+                row = {"block": number, "ids": known, "nulls": [x is None for x in ids[lo:hi]], "sizes": [len(t) for t in texts[lo:hi]], "body": body}
                 yield pa.RecordBatch.from_pylist([row], schema=BLOCK)
                 number += 1
 
-    return source.mapInArrow(run, "block long, ids array<long>, sizes array<int>, body binary")
+    return source.mapInArrow(run, "block long, ids array<long>, nulls array<boolean>, sizes array<int>, body binary")
 
 
 class _Block:
     """The documents of a block, its words and the hashes of its windows."""
 
-    def __init__(self, ids, sizes, body: bytes, min_words: int):
-        self.ids = [None if x is None or x != x else int(x) for x in ids]
+    def __init__(self, row, min_words: int):
+        sizes, body = row["sizes"], row["body"]
         cuts = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))]).tolist()
         data = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(cuts[-1], 1))
         self.texts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         self.words, self.min_words = Words(self.texts), min_words
         bounds = self.words.bounds
-        #: For each word: where its document ends, and the id (largest long for a null one) as a number.
+        #: For each word, where its document ends.
         self.ends = np.repeat(bounds[1:], np.diff(bounds))
-        self.nulls = np.array([x is None for x in self.ids], dtype=bool)
-        self.numbers = np.array([0 if x is None else x for x in self.ids], dtype=np.int64)
+        #: For each document whether its id is null, and the id (zero for a null one).
+        self.nulls = np.array(row["nulls"], dtype=bool)
+        self.numbers = np.array(row["ids"], dtype=np.int64)
         self.owners = self.words.owners()
         self.half = (min_words + 1) // 2
         self.hashes = self.words.hashes()
@@ -213,7 +216,7 @@ def _sent(blocks: DataFrame, answers: DataFrame | None, min_words: int, level: i
             for batch in batches:
                 for row in range(batch.num_rows):
                     x = batch.slice(row, 1).to_pylist()[0]
-                    rows = list(send(_Block(x["ids"], x["sizes"], x["body"], min_words), x["block"], {}))
+                    rows = list(send(_Block(x, min_words), x["block"], {}))
                     yield pa.RecordBatch.from_pylist([dict(zip(columns, r)) for r in rows], schema=types)
 
         return blocks.mapInArrow(screen, kind)
@@ -222,7 +225,7 @@ def _sent(blocks: DataFrame, answers: DataFrame | None, min_words: int, level: i
         rows = []
         if len(left):
             x = left.iloc[0]
-            rows = list(send(_Block(x["ids"], x["sizes"], x["body"], min_words), int(x["block"]), _past(right)))
+            rows = list(send(_Block(x, min_words), int(x["block"]), _past(right)))
         return pd.DataFrame(rows, columns=columns)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(extend, kind)
@@ -272,9 +275,9 @@ def _kept(blocks: DataFrame, answers: DataFrame, min_words: int, levels: int) ->
         if not len(left):
             return pd.DataFrame(columns=["id", "n_words", "n_removed", "kept_text", "longest"])
         x = left.iloc[0]
-        block, past = _Block(x["ids"], x["sizes"], x["body"], min_words), _past(right)
+        block, past = _Block(x, min_words), _past(right)
         covered = np.zeros(len(block.words) + 1, dtype=np.int64)
-        longest = np.zeros(len(block.ids), dtype=np.int64)
+        longest = np.zeros(len(block.texts), dtype=np.int64)
         for level in range(1, levels + 1):
             _, places, least = block.replay(past, level + 1)
             earlier = places[least < block.numbers[block.owners[places]]] if len(places) else places
@@ -288,9 +291,10 @@ def _kept(blocks: DataFrame, answers: DataFrame, min_words: int, levels: int) ->
             words, out = text.split(), gone[bounds[i] : bounds[i + 1]]
             removed = int(out.sum())
             kept = words if not removed else [w for w, g in zip(words, out.tolist()) if not g]
-            rows.append((block.ids[i], len(words), removed, b" ".join(kept).decode(), int(longest[i])))
-        frame = pd.DataFrame(rows, columns=["id", "n_words", "n_removed", "kept_text", "longest"])
-        return frame.astype({"id": "Int64"})
+            rows.append((len(words), removed, b" ".join(kept).decode(), int(longest[i])))
+        frame = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_text", "longest"])
+        frame.insert(0, "id", pd.arrays.IntegerArray(block.numbers, block.nulls))
+        return frame
 
     kind = "id long, n_words long, n_removed long, kept_text string, longest long"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(keep, kind)

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlink.session import materialise
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -128,7 +130,12 @@ def send_by_value(spark: SparkSession, value: object) -> Callable[[], object]:
     return lambda: pickle.loads(shared.value)
 
 
-def frames(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One record batch for each row, for rows that are large."""
-    for row in rows:
-        yield pa.RecordBatch.from_pylist([row], schema=schema)
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written once with a number for each row, and the name of that column, which ``df`` does not have.
+
+    Written out, since the numbers must stay the same where the frame is read again after an executor is lost.
+    """
+    name, taken = "row_key", {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return materialise(df.select("*", F.monotonically_increasing_id().alias(name))), name
