@@ -156,11 +156,13 @@ SELECT doc_id, md5(CASE WHEN len(t) > 220 THEN array_to_string(t[1:120], '') ||
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole conversation turns as raw answers, some of them behind a thought, some absent."""
+    """All conversation turns as raw answers: the whole text as a thought, or with a short answer before or behind it."""
     turns = fx.table(spark, sf_dir, "conversations")
-    say = F.element_at(F.array(*[F.lit(s) for s in OPENERS]), ((F.col("conv_id") + F.col("turn")) % len(OPENERS) + 1).cast("int"))
-    thought = F.when(F.col("role") == "assistant", F.concat(F.col("text"), F.lit("</think> "))).otherwise("")
-    answer = F.when(F.col("turn") % 5 != 4, F.concat(thought, say))
+    place = F.col("conv_id") + F.col("turn")
+    say = F.element_at(F.array(*[F.lit(s) for s in OPENERS]), (place % len(OPENERS) + 1).cast("int"))
+    thought = F.concat("text", F.lit("</think> "), say)
+    framed = F.when(F.col("turn") % 2 == 0, F.concat(say, F.lit(" "), F.col("text"))).otherwise(F.concat("text", F.lit(" "), say))
+    answer = F.when(F.col("role") == "assistant", thought).otherwise(framed)
     return turns.select("conv_id", "turn", answer.alias("response"), (F.col("conv_id") % 4 + 1).alias("n"))
 
 
@@ -180,9 +182,9 @@ OPENERS = [
 ]
 _LIST = "[" + ", ".join(_q(s) for s in OPENERS) + "]"
 TURNS_SQL = f"""turns AS (
-  SELECT conv_id, turn, conv_id % 4 + 1 AS n, CASE WHEN turn % 5 <> 4 THEN
-    CASE WHEN role = 'assistant' THEN text || '</think> ' ELSE '' END || ({_LIST})[(conv_id + turn) % {len(OPENERS)} + 1]
-  END AS response FROM conversations),
+  SELECT conv_id, turn, conv_id % 4 + 1 AS n,
+         CASE WHEN role = 'assistant' THEN text || '</think> ' || say WHEN turn % 2 = 0 THEN say || ' ' || text ELSE text || ' ' || say END AS response
+  FROM (SELECT *, ({_LIST})[(conv_id + turn) % {len(OPENERS)} + 1] AS say FROM conversations)),
 cleaned AS (
   SELECT *, {CLEAN_SQL.format("response")} AS t,
          CASE WHEN contains(response, '</think>') THEN {CLEAN_SQL.format("trim(string_split(lower(response), '</think>')[-1])")}
