@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlink.plans.evaluation import write_report
@@ -157,18 +157,30 @@ def _task_embedded(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _all_places(vector: str) -> Column:
+    """A digest of all numbers of a vector, in millionths."""
+    return F.md5(F.array_join(F.transform(vector, lambda x: F.floor(x.cast("double") * 1000000).cast("string")), ","))
+
+
+_ALL_PLACES = "md5(array_to_string(list_transform(v, lambda x: floor(x * 1000000)::BIGINT), ','))"
+
+
 def task_embeddings_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored vector by all its places."""
     rows = B.scan_task_embeddings(spark, _task_embedded(spark, sf_dir))
-    return tidy(rows.select("d1_reference_id", "record_id", "is_d2", "model", "created_at", F.col("embeddings")[0].alias("first"), F.size("embeddings").alias("dim")))
+    places = [F.col("embeddings")[0].alias("first"), F.size("embeddings").alias("dim"), _all_places("embeddings").alias("places_md5")]
+    return tidy(rows.select("d1_reference_id", "record_id", "is_d2", "model", "created_at", *places))
 
 
 def task_embeddings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per d1 its own vector's first place, and how many candidate vectors it has."""
+    """Per d1 its own vector by all its places, the greatest of its candidates' digests, and how many candidates it has."""
     table = B.scan_task_embeddings(spark, _task_embedded(spark, sf_dir))
     d1 = fx.d1_vectors(spark, sf_dir).select(F.col("d1_id").cast("string").alias("d1_id"))
     rows = B.task_embeddings_of(table, "context", d1)
     own = F.max(F.when(~F.col("is_d2"), F.col("embeddings")[0]))
-    return tidy(rows.groupBy("d1_reference_id").agg(own.alias("first"), F.count_if("is_d2").alias("candidates")))
+    digest = _all_places("embeddings")
+    digests = [F.max(F.when(~F.col("is_d2"), digest)).alias("own_md5"), F.max(F.when(F.col("is_d2"), digest)).alias("last_md5")]
+    return tidy(rows.groupBy("d1_reference_id").agg(own.alias("first"), *digests, F.count_if("is_d2").alias("candidates")))
 
 
 def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +194,12 @@ def report_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TASK_SQL = f"""WITH {PAIRS_SQL}, rows AS (
-  SELECT DISTINCT d1_id, d1_id AS record_id, false AS is_d2, embedding[1]::DOUBLE AS first, len(embedding) AS dim
+  SELECT DISTINCT d1_id, d1_id AS record_id, false AS is_d2, embedding::DOUBLE[] AS v
   FROM pairs JOIN embeddings ON vec_id = d1_id
   UNION ALL
   SELECT d1_id, d2_id, true,
-         (e2.embedding[1]::DOUBLE + e1.embedding[1]::DOUBLE * ((d2_id % 5 + 1) / 4.0)::DOUBLE)::FLOAT::DOUBLE, len(e2.embedding)
+         list_transform(range(1, len(e2.embedding) + 1),
+           lambda i: (e2.embedding[i]::DOUBLE + e1.embedding[i]::DOUBLE * ((d2_id % 5 + 1) / 4.0)::DOUBLE)::FLOAT::DOUBLE)
   FROM pairs JOIN embeddings e1 ON e1.vec_id = d1_id JOIN embeddings e2 ON e2.vec_id = d2_id)"""
 
 _CELLS_SQL = f"WITH {PAIRS_SQL}, {fx.MODEL_VECTORS_SQL}, cells AS (SELECT *, unnest(range(len(v))) AS dim FROM vectors)"
@@ -256,11 +269,13 @@ WHERE model = 'scaled' AND vec_id IN (SELECT d2_id FROM pairs)""",
     "task_embeddings_append": (
         task_embeddings_append,
         f"""{_TASK_SQL} SELECT d1_id::VARCHAR AS d1_reference_id, record_id::VARCHAR AS record_id, is_d2, 'context' AS model,
-TIMESTAMP '2024-01-01' + to_seconds(d1_id) AS created_at, round(first, 6) AS first, dim FROM rows""",
+TIMESTAMP '2024-01-01' + to_seconds(d1_id) AS created_at, round(v[1], 6) AS first, len(v) AS dim,
+{_ALL_PLACES} AS places_md5 FROM rows""",
     ),
     "task_embeddings_scan": (
         task_embeddings_scan,
-        f"""{_TASK_SQL} SELECT d1_id::VARCHAR AS d1_reference_id, round(max(first) FILTER (WHERE NOT is_d2), 6) AS first,
+        f"""{_TASK_SQL} SELECT d1_id::VARCHAR AS d1_reference_id, round(max(v[1]) FILTER (WHERE NOT is_d2), 6) AS first,
+max({_ALL_PLACES}) FILTER (WHERE NOT is_d2) AS own_md5, max({_ALL_PLACES}) FILTER (WHERE is_d2) AS last_md5,
 count(*) FILTER (WHERE is_d2) AS candidates FROM rows GROUP BY d1_id""",
     ),
     "report_sink": (
