@@ -192,3 +192,23 @@ def test_a_ground_truth_has_two_columns(spark, tmp_path):
     path.write_text("left|right|score\n1|a|0.5\n")
     with pytest.raises(ValueError):
         files.scan_ground_truth(spark, str(path))
+
+
+def test_one_run_is_dropped(spark):
+    """Also where its names need escaping in a path; a run that is not there drops nothing."""
+    path = scratch_path(spark, "log")
+    tables.results_table(spark, path)
+    runs = [("org/a b%3A", "r=1"), ("org/a b%3A", "r=1 "), ("org", "r=1"), ("é:x", "*")]
+    for model, run_id in runs:
+        row = spark.range(2).select(
+            F.col("id").cast("string").alias("d1_id"), F.array(F.lit("b")).alias("d2_candidates_id"), F.lit("b").alias("result"),
+            F.lit("VALID").alias("request_status"), F.current_timestamp().alias("inserted_at"), F.lit("P").alias("prompt_type"),
+            F.lit("G").alias("prompt_group"), F.lit(model).alias("model"), F.lit(run_id).alias("run_id"),
+        )
+        tables.results_append(row, path)
+    left = list(runs)
+    for gone in [("org", "none"), ("org/a b%3A", "r=1"), ("é:x", "*")]:
+        tables.drop_run(spark, path, *gone)
+        left = [r for r in left if r != gone]
+        got = tables.scan_results(spark, path).groupBy("model", "run_id").count().collect()
+        assert sorted(map(tuple, got)) == sorted((*r, 2) for r in left)

@@ -37,14 +37,16 @@ def _append(rows: DataFrame, path: str, schema: T.StructType, by: list[str]) ->
     rows.select(*[value(f) for f in schema]).write.mode("append").partitionBy(*by).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str, schema: T.StructType, by: list[str], values: dict[str, str]) -> None:
-    """Remove one partition by overwriting it with no rows of its own: only the named folder is replaced."""
+def _drop(spark: SparkSession, path: str, schema: T.StructType, values: dict[str, str]) -> None:
+    """Remove one partition: the folder in which its rows' files stand, as the scan names it. Without rows there is none."""
+    rows = _scan(spark, path, schema)
+    for column, value in values.items():
+        rows = rows.where(F.col(column) == value)
+    folders = rows.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct().collect()
     jvm = spark.sparkContext._jvm
-    folder = "/".join(
-        f"{c}={jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(values[c])}" for c in by
-    )
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for row in folders:  # one, as the values name a partition
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row.folder))
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def results_table(spark: SparkSession, path: str, force: bool = False) -> DataFrame:
@@ -63,7 +65,7 @@ def results_append(rows: DataFrame, path: str) -> None:
 
 def drop_run(spark: SparkSession, path: str, model: str, run_id: str) -> None:
     """Forget one run of one model; all others stay."""
-    _drop(spark, path, RESULTS, RESULTS_BY, {"model": model, "run_id": run_id})
+    _drop(spark, path, RESULTS, {"model": model, "run_id": run_id})
 
 
 def embeddings_table(spark: SparkSession, path: str, force: bool = False) -> DataFrame:
