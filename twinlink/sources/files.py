@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from twinlink.functions.text import serialize_record
 from twinlink.operators.pairs import group_candidates, records_of_interest
 from twinlink.operators.rank import LIST_ROWS
+from twinlink.sources.splitting import rejoined
 
 ROW_POS = "row_pos"
 
@@ -36,15 +37,40 @@ def scan_entities(
     """A delimited entity table with a header; every column is read as a string and the first one is the id.
 
     The names are those of the header; ``columns`` that are not the header's, in its order, fail the query, in every
-    file. Quoted values may hold separators and doubled quotes, and line breaks if ``multi_line`` is set. A file with
-    such line breaks cannot be split among tasks; keep a large one as Parquet.
+    file. Quoted values may hold separators and doubled quotes, and line breaks if ``multi_line`` is set; such a file
+    is read by as many tasks as any other, and its lines are put together again.
     """
     reader = _delimited(spark, sep, multi_line)
     if columns is None:
         columns = reader.csv(path).columns
+    if multi_line:
+        return _quoted_lines(spark, path, columns, sep, with_position)
     return _named(reader.option("enforceSchema", False), path, columns, with_position)
 
 
+def _quoted_lines(spark: SparkSession, path: str, columns: list[str], sep: str, with_position: bool) -> DataFrame:
+    """Records of a delimited file in which quoted values may hold line breaks; the first of each file is its header."""
+    if len(sep) != 1:
+        raise ValueError("a separator of quoted values with line breaks is one character")
+    lines = _pieces(spark, path, "\n")
+    c = "\\" + sep if sep in "\\]^-[&" else sep
+    # Whole fields with their separators, then a quoted one that does not end. Quotes inside a bare field are text.
+    opens = rf'^(?:(?:"(?:[^"]++|"")*+"[^{c}]*+|[^"{c}][^{c}]*+)?[{c}])*+"(?:[^"]++|"")*+$'
+    records = rejoined(lines, ROW_POS, F.col("value").rlike(opens), F.concat(F.lit('"'), "value").rlike(opens), "\n")
+    records = records.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter(F.trim("value") != "")
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
+    options = {"sep": sep, "quote": '"', "escape": '"'}
+    parsed = records.select(F.from_csv("value", schema, options).alias("record"), ROW_POS, "value")
+    is_header = (F.col(f"{ROW_POS}.start") == 0) & (F.col(f"{ROW_POS}.row") == 1)
+    # One column more than wanted shows a header that is too long.
+    header = F.from_csv("value", f"{schema}, _more string", options)
+    given = F.array(*[header.getField(c) for c in [*columns, "_more"]])
+    same = F.lower(F.to_json(given)) == F.lower(F.to_json(F.array(*[F.lit(c) for c in [*columns, None]])))
+    message = F.concat(F.lit(f"the header is not {columns}: "), F.substring("value", 1, 200))
+    rows = parsed.filter(F.when(is_header & ~F.coalesce(same, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(~is_header))
+    return rows.select("record.*", *([ROW_POS] if with_position else []))
+
+
 def _delimited(spark: SparkSession, sep: str, multi_line: bool) -> DataFrameReader:
     return spark.read.option("sep", sep).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
 
@@ -73,8 +99,9 @@ def scan_ground_truth(spark: SparkSession, path: str, sep: str = "|") -> DataFra
 
 
 # Where a JSON object that maps ids to lists or texts may be cut so that each piece holds one entry:
-# "entries" has one entry per line, the others are one-line objects as a JSON writer emits them.
-PAIR_CUTS = {"entries": "\n", "compact": "], "}
+# "entries" has one entry per line, the others are one-line objects as a JSON writer emits them. A list ends wherever a
+# bracket stands outside the quotes, however the object is laid out.
+PAIR_CUTS = {"entries": "\n", "compact": "]"}
 RECORD_CUTS = {"entries": "\n", "compact": '", "'}
 
 
@@ -84,8 +111,19 @@ def _pieces(spark: SparkSession, path: str, cut: str) -> DataFrame:
 
 def _entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
     """Pieces of an object without the punctuation between entries."""
+    return _bare(_pieces(spark, path, cut))
+
+
+def _bare(pieces: DataFrame) -> DataFrame:
     piece = F.regexp_replace(F.regexp_replace("value", r"^[\s{,]+", ""), r"[\s,}]+$", "")
-    return _pieces(spark, path, cut).select(piece.alias("piece"), ROW_POS).filter(F.col("piece") != "")
+    return pieces.select(piece.alias("piece"), ROW_POS).filter(F.col("piece") != "")
+
+
+def _list_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
+    """Entries of an object of lists in any layout: what stands between two brackets that close outside the quotes."""
+    # An escape never holds a bracket, so none is cut in two.
+    odd = F.length(F.regexp_replace(F.regexp_replace("value", r"\\.", ""), r'[^"]+', "")) % 2 == 1
+    return _bare(rejoined(_pieces(spark, path, cut), ROW_POS, odd, ~odd, cut))
 
 
 def _text_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
@@ -117,9 +155,11 @@ def scan_pairs_json(spark: SparkSession, path: str, layout: str = "entries") ->
     """An object ``{d1: [d2, ...]}`` as ``(d1_id, pos, d2_id)``.
 
     The file is cut at entry ends, so a single large object is read by many tasks and never held in one. In the
-    "entries" layout a list may go on in a later entry of the same d1, and its positions go on with it.
+    "entries" layout a list may go on in a later entry of the same d1, and its positions go on with it. The "compact"
+    layout reads an object on one line, or on any lines; brackets, quotes and commas in ids are no ends.
     """
-    pieces = _entries(spark, path, PAIR_CUTS[layout])
+    read = _list_entries if layout == "compact" else _entries
+    pieces = read(spark, path, PAIR_CUTS[layout])
     closed = F.when(F.col("piece").endswith("]"), F.col("piece")).otherwise(F.concat("piece", F.lit("]")))
     lists = pieces.select(F.explode(_parsed(closed, "map<string,array<string>>")).alias("d1_id", "d2_ids"), ROW_POS)
     if layout == "entries":
