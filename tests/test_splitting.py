@@ -6,12 +6,12 @@ import random
 import pandas as pd
 import pytest
 
-from twinlink.sources import files
+from twinlink.sources import files, splitting
 
 
 @pytest.fixture()
 def small_splits(spark):
-    keys = {"spark.sql.files.maxPartitionBytes": "97b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "40"}
+    keys = {"spark.sql.files.maxPartitionBytes": "400b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "40"}
     before = {k: spark.conf.get(k) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)
@@ -20,7 +20,7 @@ def small_splits(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def random_file(path, seed, sep="|", end="\n", n=120):
+def random_file(path, seed, sep="|", end="\n", n=90):
     rng = random.Random(seed)
     parts = ["a", "Ü", sep, '"', '""', "\n", "\n\n", " ", "long word", "x" * 150, '"\n"', f'"{sep}"']
     lines, want = [], []
@@ -48,7 +48,7 @@ def test_quoted_line_breaks_in_many_splits(spark, tmp_path, small_splits, seed,
     assert got == [tuple(v or None for v in r) for r in read.itertuples(index=False)]
     whole = spark.read.options(header=True, sep=sep, quote='"', escape='"', multiLine=True).csv(str(path))
     assert sorted(got, key=repr) == sorted(map(tuple, whole.collect()), key=repr)
-    assert df.select(f"{files.ROW_POS}.start").distinct().count() > 5
+    assert df.select(f"{files.ROW_POS}.start").distinct().count() > 3
 
 
 def test_several_files_each_with_its_header(spark, tmp_path, small_splits):
@@ -84,7 +84,7 @@ def test_one_object_in_many_splits(spark, tmp_path, small_splits, indent):
     df = files.scan_pairs_json(spark, str(path), "compact")
     want = sorted((d1, at, d2) for d1, ids in pairs.items() for at, d2 in enumerate(ids))
     assert sorted(map(tuple, df.collect())) == want
-    assert spark.read.text(str(path), lineSep="]").rdd.getNumPartitions() > 20
+    assert spark.read.text(str(path), lineSep="]").rdd.getNumPartitions() > 5
 
 
 def test_broken_object_fails(spark, tmp_path):
@@ -94,3 +94,11 @@ def test_broken_object_fails(spark, tmp_path):
         files.scan_pairs_json(spark, str(path), "compact").collect()
     path.write_text("{}")
     assert files.scan_pairs_json(spark, str(path), "compact").collect() == []
+
+
+def test_more_splits_than_a_broadcast_takes(spark, tmp_path, small_splits, monkeypatch):
+    monkeypatch.setattr(splitting, "BROADCAST_SPLITS", 3)
+    path = tmp_path / "d.csv"
+    want = random_file(path, 13)
+    df = files.scan_entities(spark, str(path), multi_line=True)
+    assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from twinlink.functions.text import serialize_record
 from twinlink.operators.pairs import group_candidates, records_of_interest
 from twinlink.operators.rank import LIST_ROWS
-from twinlink.sources.splitting import rejoined
+from twinlink.sources.splitting import in_json_string, in_quoted_field, rejoined
 
 ROW_POS = "row_pos"
 
@@ -50,13 +50,7 @@ def scan_entities(
 
 def _quoted_lines(spark: SparkSession, path: str, columns: list[str], sep: str, with_position: bool) -> DataFrame:
     """Records of a delimited file in which quoted values may hold line breaks; the first of each file is its header."""
-    if len(sep) != 1:
-        raise ValueError("a separator of quoted values with line breaks is one character")
-    lines = _pieces(spark, path, "\n")
-    c = "\\" + sep if sep in "\\]^-[&" else sep
-    # Whole fields with their separators, then a quoted one that does not end. Quotes inside a bare field are text.
-    opens = rf'^(?:(?:"(?:[^"]++|"")*+"[^{c}]*+|[^"{c}][^{c}]*+)?[{c}])*+"(?:[^"]++|"")*+$'
-    records = rejoined(lines, ROW_POS, F.col("value").rlike(opens), F.concat(F.lit('"'), "value").rlike(opens), "\n")
+    records = rejoined(_pieces(spark, path, "\n"), ROW_POS, in_quoted_field(sep), "\n")
     records = records.withColumn("value", F.regexp_replace("value", r"\r$", "")).filter(F.trim("value") != "")
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in columns)
     options = {"sep": sep, "quote": '"', "escape": '"'}
@@ -122,8 +116,7 @@ def _bare(pieces: DataFrame) -> DataFrame:
 def _list_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
     """Entries of an object of lists in any layout: what stands between two brackets that close outside the quotes."""
     # An escape never holds a bracket, so none is cut in two.
-    odd = F.length(F.regexp_replace(F.regexp_replace("value", r"\\.", ""), r'[^"]+', "")) % 2 == 1
-    return _bare(rejoined(_pieces(spark, path, cut), ROW_POS, odd, ~odd, cut))
+    return _bare(rejoined(_pieces(spark, path, cut), ROW_POS, in_json_string, cut))
 
 
 def _text_entries(spark: SparkSession, path: str, cut: str) -> DataFrame:
