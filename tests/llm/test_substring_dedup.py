@@ -44,10 +44,11 @@ def rows(df):
 
 def test_query_on_documents(spark):
     docs = [(d.doc_id, d.text) for d in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
-    want = [(i, n, r, hashlib.sha256(t.encode()).hexdigest()) for i, n, r, t, _ in brute(docs)]
-    got = [tuple(r) for r in queries.op2_substring_dedup(spark, SF_DIR).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
+    want = [(i, n, r, hashlib.sha256(t.encode()).hexdigest(), k) for i, n, r, t, k in brute(docs)]
+    got = [tuple(r) for r in queries.op2_substring_dedup(spark, SF_DIR).select("doc_id", "n_words", "n_removed", "kept_sha256", "longest").collect()]
     assert sorted(got) == sorted(want)
-    assert sum(r for _, _, r, _ in want) > 0
+    assert sum(r for _, _, r, _, _ in want) > 0
+    assert len({k for *_, k in want}) > 2
 
 
 @pytest.fixture()

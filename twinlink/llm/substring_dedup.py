@@ -44,19 +44,26 @@ def repeated_words(
     Texts travel once, as compressed blocks of about two megabytes. A level sends, for each block and each range of
     hashes, one sorted array in which a hash stands once however often the block has it; the answers go back to
     the block in the same order. So a passage that a third of all documents share adds one number per block.
+
+    From the first full level on, a block keeps only the places and hashes of its repeated windows: a window of twice the
+    length is hashed from its halves, so later levels read no text.
     """
     blocks = materialise(_blocks(docs, id_col, text_col))
     total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_BYTES)))
     answers = materialise(_compare(_sent(blocks, None, min_words, 0, buckets), 0))
-    level = 1
-    while max_words is None or level == 1 or min_words << (level - 1) <= max_words:
-        found = materialise(_compare(_sent(blocks, answers, min_words, level, buckets), level))
+    found = materialise(_compare(_sent(blocks, answers, min_words, 1, buckets), 1))
+    answers = answers.unionByName(found)
+    level, length = 1, min_words
+    state = None if found.isEmpty() else materialise(_repeated(blocks, answers, min_words))
+    while state is not None and (max_words is None or 2 * length <= max_words):
+        level, length = level + 1, 2 * length
+        found = materialise(_compare(_doubled(state, length // 2, buckets), level))
         if found.isEmpty():
             break
-        answers = answers.unionByName(found)
-        level += 1
-    return _kept(blocks, answers, min_words, level - 1).withColumnRenamed("id", id_col)
+        state = materialise(_still_repeated(state, found, length))
+        answers = answers.unionByName(state.select("block", F.lit(level).alias("level"), F.lit(length).cast("long").alias("bucket"), F.col("late").alias("answer")))
+    return _kept(blocks, answers, min_words).withColumnRenamed("id", id_col)
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -125,22 +132,18 @@ class _Block:
         low, high = _extremes(rank, self.numbers[self.owners[candidates]], len(values))
         return values, low, high, rank
 
-    def replay(self, answers: dict[int, dict[int, bytes]], level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates of ``level`` (0 gives none) from the answers of all levels before, and with them, for the level
-        before, the places of its candidates and the least id that has the window (largest long if it is not repeated)."""
+    def candidates(self, answers: dict[int, dict[int, bytes]]) -> np.ndarray:
+        """The places of the full windows that the first level leaves."""
         places, _ = self.anchors()
         _, _, rank = self.screen()
-        candidates = places[_unpack_flags(answers.get(0), rank)]
-        before, least = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        for k in range(1, level):
-            length = self.min_words << (k - 1)
-            _, _, _, rank = self.windows(length, candidates)
-            before, least = candidates, _unpack_least(answers.get(k), rank)
-            repeated = np.zeros(len(self.ends) + 1, dtype=bool)
-            repeated[before[least != _NEVER]] = True
-            double = np.flatnonzero(self.inside(2 * length))
-            candidates = double[repeated[double] & repeated[double + length]]
-        return candidates, before, least
+        return places[_unpack_flags(answers.get(0), rank)]
+
+    def repeated(self, answers: dict[int, dict[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the full windows in two documents, and the least id that has each."""
+        candidates = self.candidates(answers)
+        _, _, _, rank = self.windows(self.min_words, candidates)
+        least = _unpack_least(answers.get(1), rank)
+        return candidates[least != _NEVER], least[least != _NEVER]
 
 
 _NEVER = np.iinfo(np.int64).max
@@ -189,7 +192,7 @@ def _unpack_least(parts: dict[int, bytes] | None, rank: np.ndarray) -> np.ndarra
 
 
 def _sent(blocks: DataFrame, answers: DataFrame | None, min_words: int, level: int, buckets: int) -> DataFrame:
-    """For each block and bucket the sorted hashes of the level's candidates, with what the block knows of each."""
+    """For each block and bucket the sorted hashes of the candidates of level 0 or 1, with what the block knows of each."""
 
     def send(block: _Block, number: int, past: dict[int, dict[int, bytes]]) -> Iterator[tuple]:
         if level == 0:
@@ -197,18 +200,14 @@ def _sent(blocks: DataFrame, answers: DataFrame | None, min_words: int, level: i
             width = SCREEN_BITS // 8
             bucket = (values * np.uint64(buckets)) >> np.uint64(SCREEN_BITS) if buckets < 1 << 16 else (values >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(SCREEN_BITS - 16)
         else:
-            candidates, _, _ = block.replay(past, level)
-            values, low, high, _ = block.windows(min_words << (level - 1), candidates)
-            width = 8
-            bucket = ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            values, low, high, _ = block.windows(min_words, block.candidates(past))
+            yield from _ranges(number, values, low, high, buckets)
+            return
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))), len(values)) if len(values) else [0]
         for lo, hi in zip(cuts, cuts[1:]):
-            known = _pack_bits(several[lo:hi]) if level == 0 else _planes(low[lo:hi].view(np.uint64), 8)
-            known2 = None if level == 0 else _planes((high[lo:hi] - low[lo:hi]).view(np.uint64), 8)
-            yield int(bucket[lo]), number, _planes(values[lo:hi], width), known, known2
+            yield int(bucket[lo]), number, _planes(values[lo:hi], width), _pack_bits(several[lo:hi]), None
 
-    columns = ["bucket", "block", "hashes", "known", "spread"]
-    kind = "bucket long, block long, hashes binary, known binary, spread binary"
+    columns, kind = SENT, SENT_KIND
     types = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in columns[2:])])
     if level == 0:
 
@@ -231,6 +230,89 @@ def _sent(blocks: DataFrame, answers: DataFrame | None, min_words: int, level: i
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(extend, kind)
 
 
+SENT = ["bucket", "block", "hashes", "known", "spread"]
+SENT_KIND = "bucket long, block long, hashes binary, known binary, spread binary"
+
+
+def _ranges(number: int, values: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """A row of ``SENT`` for each range of the sorted hashes, with the least and largest id of each hash in the block."""
+    bucket = ((values >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(values)] if len(values) else [0]
+    for lo, hi in zip(cuts, cuts[1:]):
+        known = _planes(low[lo:hi].view(np.uint64), 8)
+        yield int(bucket[lo]), number, _planes(values[lo:hi], 8), known, _planes((high[lo:hi] - low[lo:hi]).view(np.uint64), 8)
+
+
+#: The repeated windows of a block: place and hash of each, its document's number in the block and id; and, as flags over the
+#: block's documents, which have a window that starts in an earlier document.
+STATE = ["block", "places", "hashes", "docs", "ids", "late"]
+STATE_KIND = "block long, places binary, hashes binary, docs binary, ids binary, late binary"
+
+
+def _state_row(number: int, windows: tuple, least: np.ndarray) -> pd.DataFrame:
+    """The windows that are repeated, as a row of ``STATE``; none if there is no such window."""
+    again = least != _NEVER
+    places, hashes, docs, ids = (x[again] for x in windows)
+    if not len(places):
+        return pd.DataFrame(columns=STATE)
+    late = np.unique(docs[least[again] < ids])
+    packed = [_planes(np.ascontiguousarray(x).view(np.uint64), 8) for x in (places, hashes, docs, ids, late)]
+    return pd.DataFrame([(number, *packed)], columns=STATE)
+
+
+def _state(row) -> tuple:
+    return tuple(_numbers(row[c], 8) if c == "hashes" else _numbers(row[c], 8).view(np.int64) for c in ("places", "hashes", "docs", "ids"))
+
+
+def _repeated(blocks: DataFrame, answers: DataFrame, min_words: int) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=STATE)
+        x = left.iloc[0]
+        block = _Block(x, min_words)
+        places, least = block.repeated(_past(right))
+        hashes = window_hashes(block.hashes, min_words)[places] if len(places) else np.empty(0, dtype=np.uint64)
+        docs = block.owners[places].astype(np.int64)
+        return _state_row(int(x["block"]), (places.astype(np.int64), hashes, docs, block.numbers[docs]), least)
+
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, STATE_KIND)
+
+
+def _double(row, length: int) -> tuple:
+    """The windows of twice a length whose halves are both repeated, in the form of ``_state``."""
+    places, hashes, docs, ids = _state(row)
+    at = np.minimum(np.searchsorted(places, places + length), len(places) - 1)
+    both = (places[at] == places + length) & (docs[at] == docs)
+    with np.errstate(over="ignore"):
+        joined = mix(hashes[both] * np.uint64(0x9E3779B97F4A7C15) + hashes[at[both]])
+    return places[both], joined, docs[both], ids[both]
+
+
+def _doubled(state: DataFrame, length: int, buckets: int) -> DataFrame:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for _, row in frame.iterrows():
+                _, hashes, _, ids = _double(row, length)
+                values, rank = np.unique(hashes, return_inverse=True)
+                low, high = _extremes(rank, ids, len(values))
+                yield pd.DataFrame(list(_ranges(int(row["block"]), values, low, high, buckets)), columns=SENT)
+
+    return state.mapInPandas(run, SENT_KIND)
+
+
+def _still_repeated(state: DataFrame, answers: DataFrame, length: int) -> DataFrame:
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=STATE)
+        x = left.iloc[0]
+        windows = _double(x, length // 2)
+        _, rank = np.unique(windows[1], return_inverse=True)
+        (parts,) = _past(right).values()
+        return _state_row(int(x["block"]), windows, _unpack_least(parts, rank))
+
+    return state.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, STATE_KIND)
+
+
 def _past(answers: pd.DataFrame) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
     for level, bucket, answer in zip(answers["level"], answers["bucket"], answers["answer"]):
@@ -270,7 +352,7 @@ def _compare(sent: DataFrame, level: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(answer, "block long, level int, bucket long, answer binary")
 
 
-def _kept(blocks: DataFrame, answers: DataFrame, min_words: int, levels: int) -> DataFrame:
+def _kept(blocks: DataFrame, answers: DataFrame, min_words: int) -> DataFrame:
     def keep(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame(columns=["id", "n_words", "n_removed", "kept_text", "longest"])
@@ -278,13 +360,14 @@ def _kept(blocks: DataFrame, answers: DataFrame, min_words: int, levels: int) ->
         block, past = _Block(x, min_words), _past(right)
         covered = np.zeros(len(block.words) + 1, dtype=np.int64)
         longest = np.zeros(len(block.texts), dtype=np.int64)
-        for level in range(1, levels + 1):
-            _, places, least = block.replay(past, level + 1)
-            earlier = places[least < block.numbers[block.owners[places]]] if len(places) else places
-            longest[block.owners[earlier]] = min_words << (level - 1)
-            if level == 1:
-                np.add.at(covered, earlier, 1)
-                np.add.at(covered, earlier + min_words, -1)
+        places, least = block.repeated(past)
+        earlier = places[least < block.numbers[block.owners[places]]] if len(places) else places
+        np.add.at(covered, earlier, 1)
+        np.add.at(covered, earlier + min_words, -1)
+        longest[block.owners[earlier]] = min_words
+        for level in sorted(k for k in past if k > 1):
+            for length, late in past[level].items():
+                longest[_numbers(late, 8).view(np.int64)] = length
         gone = np.cumsum(covered)[:-1] > 0
         bounds, rows = block.words.bounds.tolist(), []
         for i, text in enumerate(block.texts):
