@@ -243,8 +243,9 @@ def _ranges(number: int, values: np.ndarray, low: np.ndarray, high: np.ndarray,
         yield int(bucket[lo]), number, _planes(values[lo:hi], 8), known, _planes((high[lo:hi] - low[lo:hi]).view(np.uint64), 8)
 
 
-#: The repeated windows of a block: place and hash of each, its document's number in the block and id; and, as flags over the
-#: block's documents, which have a window that starts in an earlier document.
+#: The repeated windows of a block: place and hash of each and its document's number in the block, with the ids of the documents
+#: that have one; and the numbers of those with a window that starts in an earlier document. Places and numbers rise, so
+#: their steps are kept.
 STATE = ["block", "places", "hashes", "docs", "ids", "late"]
 STATE_KIND = "block long, places binary, hashes binary, docs binary, ids binary, late binary"
 
@@ -256,12 +257,16 @@ def _state_row(number: int, windows: tuple, least: np.ndarray) -> pd.DataFrame:
     if not len(places):
         return pd.DataFrame(columns=STATE)
     late = np.unique(docs[least[again] < ids])
-    packed = [_planes(np.ascontiguousarray(x).view(np.uint64), 8) for x in (places, hashes, docs, ids, late)]
+    _, first = np.unique(docs, return_index=True)
+    columns = (np.diff(places, prepend=0), hashes, np.diff(docs, prepend=0), ids[first], late)
+    packed = [_planes(np.ascontiguousarray(x).view(np.uint64), 8) for x in columns]
     return pd.DataFrame([(number, *packed)], columns=STATE)
 
 
 def _state(row) -> tuple:
-    return tuple(_numbers(row[c], 8) if c == "hashes" else _numbers(row[c], 8).view(np.int64) for c in ("places", "hashes", "docs", "ids"))
+    places, docs = (np.cumsum(_numbers(row[c], 8).view(np.int64)) for c in ("places", "docs"))
+    _, of = np.unique(docs, return_inverse=True)
+    return places, _numbers(row["hashes"], 8), docs, _numbers(row["ids"], 8).view(np.int64)[of]
 
 
 def _repeated(blocks: DataFrame, answers: DataFrame, min_words: int) -> DataFrame:
