@@ -60,6 +60,31 @@ def test_lists_are_stepped_together_in_full_calls(spark, tmp_path, batch_rows):
         assert len(calls) <= 4 * 2 * 12
 
 
+def tasks_that_ask(spark, tmp_path, monkeypatch, sort):
+    """Tasks that put questions, and the result, when a task is to have about 20 of the questions."""
+    monkeypatch.setattr(J, "TASK_QUESTIONS", 20)
+    lists = {f"d{c}": [f"x{i}" for i in range(5)] for c in range(60)}
+    log = str(tmp_path / "tasks")
+
+    def judge(q: pd.DataFrame):
+        from pyspark import TaskContext
+
+        with open(log, "a") as f:
+            f.write(f"{TaskContext.get().partitionId()}\n")
+        return pairwise(fickle)(q)
+
+    rows = sort(pairs(spark, lists), judge)
+    return len(set(open(log))), rows, {d: bubble(d, ids, fickle)[0] for d, ids in lists.items()}
+
+
+def test_tasks_of_a_pick_grow_in_number_with_the_questions(spark, tmp_path, monkeypatch):
+    def pick(df, judge):
+        return {r.d1_id: r.d2_candidates_id for r in J.compare_pick(df, judge, "COMPARING_PROMPT", OPTIONS).collect()}
+
+    tasks, rows, want = tasks_that_ask(spark, tmp_path, monkeypatch, pick)
+    assert tasks > 8 and rows == want
+
+
 def test_long_lists_go_through_rounds_with_the_same_result(spark):
     rng = random.Random(5)
     lists = {f"d{n}": [f"x{i}" for i in rng.sample(range(50), n)] for n in range(1, 8)}

@@ -7,6 +7,7 @@ to contain a placeholder is therefore never substituted again.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,8 +69,20 @@ def _fill(prompt_type: str, values: list[Column]) -> Column:
 
 def fill_prompt(prompt_type: str, *values: str) -> str:
     """The same prompt from plain texts, for steps that put questions inside a task."""
+    return prompt_filler(prompt_type)(*values)
+
+
+def prompt_filler(prompt_type: str) -> Callable[..., str]:
+    """A function of the texts that fills the template, which is cut at its placeholders once."""
     pieces = re.split(r"\{(\d)\}", TEMPLATES[prompt_type])
-    return "".join(values[int(p)] if i % 2 else p for i, p in enumerate(pieces))
+    places = [int(p) for p in pieces[1::2]]
+
+    def fill(*values: str) -> str:
+        out = pieces.copy()
+        out[1::2] = [values[p] for p in places]
+        return "".join(out)
+
+    return fill
 
 
 def _exactly(n: int, candidates: Column, prompt: Column) -> Column:

@@ -223,9 +223,9 @@ def formula_judge(questions: pd.DataFrame) -> list[str | None]:
     """A judge whose answers SQL can repeat, in the words a model might use."""
     out: list[str | None] = []
     if "a_id" in questions:
-        for d1, a, b in zip(questions["d1_id"], questions["a_id"], questions["b_id"]):
-            key_a, key_b = (int(d1) * 7 + int(a) * 13) % 101, (int(d1) * 7 + int(b) * 13) % 101
-            out.append("The answer is: Record A." if key_a > key_b else "Record B")
+        d1, a, b = (questions[c].astype("int64").to_numpy() for c in ("d1_id", "a_id", "b_id"))
+        prefers_a = (d1 * 7 + a * 13) % 101 > (d1 * 7 + b * 13) % 101
+        out += ["The answer is: Record A." if first else "Record B" for first in prefers_a.tolist()]
     elif "d2_id" not in questions:
         for d1, n in zip(questions["d1_id"], questions["n_candidates"]):
             out.append("[99999]" if int(d1) % 11 == 0 else f"The answer is: [{(int(d1) * 5 + 3) % (n + 1)}]")
