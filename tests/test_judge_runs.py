@@ -85,6 +85,14 @@ def test_tasks_of_a_pick_grow_in_number_with_the_questions(spark, tmp_path, monk
     assert tasks > 8 and rows == want
 
 
+def test_tasks_of_a_sort_grow_in_number_with_the_questions(spark, tmp_path, monkeypatch):
+    def sort(df, judge):
+        return orders(J.compare_sort(df, judge, "COMPARING_PROMPT", OPTIONS))
+
+    tasks, rows, want = tasks_that_ask(spark, tmp_path, monkeypatch, sort)
+    assert tasks > 8 and rows == want
+
+
 def test_long_lists_go_through_rounds_with_the_same_result(spark):
     rng = random.Random(5)
     lists = {f"d{n}": [f"x{i}" for i in rng.sample(range(50), n)] for n in range(1, 8)}
