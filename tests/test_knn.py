@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
+from twinlink.operators import knn
 from twinlink.operators.knn import knn_join, limit_copies, reciprocal_knn
+from twinlink.session import materialise
 
 DIM = 6
 
@@ -100,3 +102,25 @@ def test_reciprocal_pairs_are_symmetric_and_exact(spark, how):
     swapped = reciprocal_knn(d2, d1, 4, d1_id="d2_id", d2_id="d1_id", **how)
     assert got == want
     assert {(r.d1_id, r.d2_id) for r in swapped.collect()} == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_vectors_are_never_sent_to_the_driver(spark):
+    rows = [(i, i % 3, [float(i), 1.0]) for i in range(60)]
+    vectors = materialise(spark.createDataFrame(rows, "id long, cell int, vec array<float>"))
+    cells = spark.createDataFrame([(c, 2) for c in range(3)], "cell int, blocks int")
+    packed = knn._pack(vectors, knn._Layout(60, 2, 10), cells)
+    assert "BuildRight" in _plan(packed) and "BuildLeft" not in _plan(packed)
+    blocks = materialise(packed)
+    targets = blocks.selectExpr("cell AS q_cell", "block AS q_block", "cell AS x_cell", "2 AS x_blocks")
+    assert "Broadcast" not in _plan(knn._meet(blocks, blocks, materialise(targets)))
+
+
+def test_float_blocks_hold_four_bytes_a_number(spark):
+    for kind, size in (("float", 4), ("double", 8)):
+        vectors = spark.createDataFrame([(i, [i + 0.1, 2.0, 3.0]) for i in range(20)], f"id long, vec array<{kind}>")
+        packed = knn._pack(vectors, knn._Layout(20, 3, 5)).collect()
+        assert sum(len(r.vecs) for r in packed) == 20 * 3 * size

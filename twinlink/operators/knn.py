@@ -79,11 +79,14 @@ def _standardise(df: DataFrame, id_col: str, vec_col: str, metric: str) -> DataF
 
 @F.arrow_udf(T.BinaryType())
 def _as_bytes(vecs: pa.Array) -> pa.Array:
-    return pa.array([np.asarray(v.values, dtype=np.float64).tobytes() for v in vecs], type=pa.binary())
+    # Floats stay floats on their way; whatever is computed with them is computed in doubles.
+    return pa.array([v.values.to_numpy(zero_copy_only=False).tobytes() for v in vecs], type=pa.binary())
 
 
-def _as_rows(vecs: pa.Scalar, n: int) -> np.ndarray:
-    return np.frombuffer(vecs.as_buffer(), dtype=np.float64).reshape(n, -1)
+def _as_rows(vecs: pa.Scalar, n: int, dim: int) -> np.ndarray:
+    buffer = vecs.as_buffer()
+    kind = np.float32 if buffer.size == 4 * n * dim else np.float64
+    return np.frombuffer(buffer, dtype=kind).reshape(n, dim).astype(np.float64, copy=False)
 
 
 def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None) -> DataFrame:
@@ -91,7 +94,8 @@ def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None)
     if cell_blocks is None:
         df = df.withColumns({"cell": F.lit(0), "blocks": F.lit(layout.blocks)})
     else:
-        df = df.join(cell_blocks, "cell")
+        # A row per cell, of a size Catalyst does not know; it would rather send the vectors around.
+        df = df.join(F.broadcast(cell_blocks), "cell")
     rows = F.array_sort(F.collect_list(F.struct("id", "vec")))
     return (
         df.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -161,7 +165,7 @@ def _comparable(ids: pa.Array) -> np.ndarray:
     return ids.to_numpy(zero_copy_only=False)
 
 
-def _score_blocks(pairs: DataFrame, k: int, both: bool = False) -> DataFrame:
+def _score_blocks(pairs: DataFrame, k: int, dim: int, both: bool = False) -> DataFrame:
     """Rows ``(side, q_cell, q_block, q_id, x_id, sq_dist)``.
 
     Side 0 holds query -> index; with ``both``, side 1 holds index -> query from the same product.
@@ -183,11 +187,11 @@ def _score_blocks(pairs: DataFrame, k: int, both: bool = False) -> DataFrame:
             for i in range(batch.num_rows):
                 q_key = (cols["q_cell"][i].as_py(), cols["q_block"][i].as_py())
                 q_ids, x_ids = cols["q_ids"][i].values, cols["x_ids"][i].values
-                x = _as_rows(cols["x_vecs"][i], len(x_ids))
+                x = _as_rows(cols["x_vecs"][i], len(x_ids), dim)
                 if q_key != at:
                     if near is not None:
                         yield emit(0, at, near)
-                    at, near = q_key, _Nearest(q_ids, _as_rows(cols["q_vecs"][i], len(q_ids)), k)
+                    at, near = q_key, _Nearest(q_ids, _as_rows(cols["q_vecs"][i], len(q_ids), dim), k)
                 near.add(_comparable(x_ids), x)
                 if both:
                     back = _Nearest(x_ids, x, k)
@@ -213,15 +217,16 @@ def _meet(queries: DataFrame, index: DataFrame, targets: DataFrame) -> DataFrame
     """Block pairs to score, one per row; ``targets`` lists ``(q_cell, q_block, x_cell, x_blocks)``.
 
     An index block is copied once per query block it has to meet, a query block once per ``KEY_FANOUT``
-    index blocks, so that no join key gathers more than these.
+    index blocks, so that no join key gathers more than these. Blocks are shuffled and never broadcast: a table of
+    vectors does not belong on the driver, however well its files are compressed.
     """
     group = F.floor(F.col("x_block") / KEY_FANOUT).cast("int")
     last = F.floor((F.col("x_blocks") - 1) / KEY_FANOUT).cast("int")
     wanted = targets.withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).drop("x_blocks")
-    x = _prefix(index, "x").join(wanted, ["x_cell", "x_block"]).withColumn("x_group", group)
-    q = _prefix(queries, "q").join(targets, ["q_cell", "q_block"])
+    x = _prefix(index, "x").hint("merge").join(wanted, ["x_cell", "x_block"]).withColumn("x_group", group)
+    q = _prefix(queries, "q").hint("merge").join(targets, ["q_cell", "q_block"])
     q = q.withColumn("x_group", F.explode(F.sequence(F.lit(0), last))).drop("x_blocks")
-    return q.join(x, ["q_cell", "q_block", "x_cell", "x_group"])
+    return q.hint("merge").join(x, ["q_cell", "q_block", "x_cell", "x_group"])
 
 
 def _prefix(blocks: DataFrame, side: str) -> DataFrame:
@@ -238,11 +243,12 @@ def _assign(df: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("struct<cell:int,dist:double>")
     def nearest(vec: pa.Array) -> pa.Array:
-        gaps = _distances(as_matrix(vec), pivots)
-        cell = gaps.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(cell.astype(np.int32)), pa.array(gaps[np.arange(len(cell)), cell])], names=["cell", "dist"]
-        )
+        rows, step = as_matrix(vec), max(1, WORK_BYTES // (32 * len(pivots)))
+        cell, dist = np.zeros(len(rows), dtype=np.int32), np.zeros(len(rows))
+        for at in range(0, len(rows), step):
+            gaps = _distances(rows[at : at + step], pivots)
+            cell[at : at + step], dist[at : at + step] = gaps.argmin(axis=1), gaps.min(axis=1)
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(dist)], names=["cell", "dist"])
 
     return df.withColumn("near", nearest("vec")).select("id", "vec", "near.cell", "near.dist")
 
@@ -289,7 +295,7 @@ def _pivoted(
     home_df = spark.createDataFrame(home_rows, "q_cell int, x_cell int, x_blocks int")
 
     keys = q_blocks.select(F.col("cell").alias("q_cell"), F.col("block").alias("q_block"))
-    first = _score_blocks(_meet(q_blocks, x_blocks, keys.join(home_df, "q_cell")), k)
+    first = _score_blocks(_meet(q_blocks, x_blocks, keys.join(F.broadcast(home_df), "q_cell")), k, x_layout.dim)
     first = materialise(_best(first, k).drop("rank"))
 
     # Per query the k-th distance so far; a cell that lies farther away cannot matter.
@@ -307,7 +313,7 @@ def _pivoted(
         out = []
         for c, v, b in zip(q_cell.to_pylist(), vecs, reach):
             b = np.sqrt(np.asarray(b.values, dtype=np.float64))
-            q = _as_rows(v, len(b))
+            q = _as_rows(v, len(b), centres.shape[1])
             gaps, own = _distances(q, centres), _distances(q, pivots[c : c + 1])
             # A member of a cell is nearer to that cell's pivot than to this one, hence beyond the plane between them.
             # Pivots that nearly coincide give no usable plane.
@@ -321,11 +327,12 @@ def _pivoted(
 
     targets = (
         q_blocks.select(F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), "vecs")
+        .hint("merge")
         .join(bounds, ["q_cell", "q_block"])
         .select("q_cell", "q_block", F.explode(remaining("q_cell", "vecs", "rows.kth")).alias("x_cell"))
-        .join(spark.createDataFrame(x_count, "x_cell int, x_blocks int"), "x_cell")
+        .join(F.broadcast(spark.createDataFrame(x_count, "x_cell int, x_blocks int")), "x_cell")
     )
-    second = _score_blocks(_meet(q_blocks, x_blocks, targets), k)
+    second = _score_blocks(_meet(q_blocks, x_blocks, targets), k, x_layout.dim)
     return _best(first.unionByName(second), k)
 
 
@@ -372,7 +379,7 @@ def _grid(q: DataFrame, x: DataFrame, q_layout: _Layout, x_layout: _Layout, k: i
         F.lit(0).alias("x_cell"),
         F.lit(x_layout.blocks).alias("x_blocks"),
     )
-    return _score_blocks(_meet(_pack(q, q_layout), _pack(x, x_layout), targets), k, both)
+    return _score_blocks(_meet(_pack(q, q_layout), _pack(x, x_layout), targets), k, x_layout.dim, both)
 
 
 def reciprocal_knn(
