@@ -212,3 +212,12 @@ def test_one_run_is_dropped(spark):
         left = [r for r in left if r != gone]
         got = tables.scan_results(spark, path).groupBy("model", "run_id").count().collect()
         assert sorted(map(tuple, got)) == sorted((*r, 2) for r in left)
+
+
+def test_ground_truth_rows_are_grouped_without_their_file_names(spark, tmp_path):
+    for name, rows in (("b", "x|1\ny|2"), ("a", "x|3\nz|4")):
+        (tmp_path / f"{name}.csv").write_text(f"D1|D2\n{rows}\n")
+    gt = files.scan_ground_truth(spark, str(tmp_path))
+    assert {tuple(r) for r in gt.collect()} == {("x", "1"), ("y", "2"), ("z", "4")}
+    grouped = gt._jdf.queryExecution().optimizedPlan().child().schema().json()
+    assert "file_no" in grouped and '"file"' not in grouped

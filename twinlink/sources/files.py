@@ -88,7 +88,13 @@ def scan_ground_truth(spark: SparkSession, path: str, sep: str = "|") -> DataFra
     header = reader.csv(path).columns
     if len(header) != 2:
         raise ValueError(f"a ground truth has two columns, not {header}")
-    rows = _named(reader.option("enforceSchema", False), path, header, with_position=True).toDF("d1_id", "d2_id", ROW_POS)
+    table = _named(reader.option("enforceSchema", False), path, header, with_position=False)
+    ids = [F.col(f"`{c}`").alias(name) for c, name in zip(header, ("d1_id", "d2_id"))]
+    at = [F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")]
+    file = F.col("_metadata.file_path").alias("file")
+    # The rows are sorted to be grouped: each carries the number of its file instead of the name.
+    files = table.select(file).distinct().withColumn("file_no", F.row_number().over(Window.orderBy("file")))
+    rows = table.select(*ids, file, *at).join(F.broadcast(files), "file", "left").select("d1_id", "d2_id", F.struct("file_no", "start", "row").alias(ROW_POS))
     return rows.groupBy("d1_id").agg(F.max_by("d2_id", ROW_POS).alias("d2_id"))
 
 
