@@ -88,6 +88,18 @@ def test_equal_texts_are_encoded_once(spark, tmp_path):
     assert len(encoded) == len(set(encoded)) == 5
 
 
+def test_lists_are_joined_to_vectors_without_their_texts(spark):
+    n = 40
+    pairs = spark.createDataFrame([(f"a{i}", 0, f"b{j}") for i in range(n) for j in range(n)], "d1_id string, pos long, d2_id string")
+    d1 = spark.createDataFrame([(f"a{i}", f"first {i}") for i in range(n)], "record_id string, text string")
+    d2 = spark.createDataFrame([(f"b{j}", f"second {j % 7}") for j in range(n)], "record_id string, text string")
+    assert E.task_texts(pairs, d1, d2).count() == 2 * n
+    rows = E.embed_with_task(pairs, d1, d2, "m", E.hashed_words)
+    assert rows.count() == n + n * n
+    # Texts are grouped in hash tables; a sort of them would hold one row per list entry.
+    assert "SortAggregate" not in plan(rows)
+
+
 def grid_tables(spark):
     pairs = spark.createDataFrame([("D2", "1", "8", 0), ("D2", "1", "9", 1), ("D3", "1", "8", 0)], "dataset string, d1_id string, d2_id string, pos long")
     rows = [(s, side, r, [float(int(r)), float(k)], m) for s in ("D2", "D3") for k, m in enumerate(("m1", "m2", "m3")) for side, r in (("d1", "1"), ("d2", "8"), ("d2", "9"))]

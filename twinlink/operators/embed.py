@@ -110,19 +110,14 @@ def embed_records(
 
 
 def task_texts(pairs: DataFrame, d1_records: DataFrame, d2_records: DataFrame, task: str = TASK) -> DataFrame:
-    """What is embedded per d1: the d1 text behind the task, and the texts of its candidates."""
-    d1 = pairs.select("d1_id").distinct().join(d1_records.withColumnRenamed("record_id", "d1_id"), "d1_id")
-    d1 = d1.select(
-        F.col("d1_id").alias("d1_reference_id"),
-        F.col("d1_id").alias("record_id"),
-        F.lit(False).alias("is_d2"),
-        instruct_prefix(task, "text").alias("text"),
-    )
-    d2 = pairs.select("d1_id", "d2_id").join(d2_records.withColumnRenamed("record_id", "d2_id"), "d2_id")
-    d2 = d2.select(
-        F.col("d1_id").alias("d1_reference_id"), F.col("d2_id").alias("record_id"), F.lit(True).alias("is_d2"), "text"
-    )
-    return d1.unionByName(d2)
+    """What is embedded, ``(is_d2, record_id, text)``: listed d1 records behind the task, and the listed candidates."""
+
+    def listed(records: DataFrame, side: str, text: Column) -> DataFrame:
+        ids = pairs.select(F.col(f"{side}_id").alias("record_id")).distinct()
+        rows = records.join(ids, "record_id", "left_semi")
+        return rows.select(F.lit(side == "d2").alias("is_d2"), "record_id", text.alias("text"))
+
+    return listed(d1_records, "d1", instruct_prefix(task, "text")).unionByName(listed(d2_records, "d2", F.col("text")))
 
 
 def embed_with_task(
@@ -136,12 +131,13 @@ def embed_with_task(
 ) -> DataFrame:
     """Rows for the task-embedding table; a d1 that ``done`` holds is skipped with all its candidates.
 
-    A text is encoded once, in however many lists its record stands; the vectors are joined to the lists afterwards.
+    A text is encoded once, in however many lists its record stands. Lists meet vectors only; no text is repeated for them.
     """
     todo = pairs if done is None else resume_task_embeddings(pairs, done, model)
-    keyed = task_texts(todo, d1_records, d2_records, task)
-    vectors = encode_distinct(keyed, ["is_d2", "record_id"], to_vectors)
-    vectors = keyed.select("d1_reference_id", "record_id", "is_d2").join(vectors, ["is_d2", "record_id"])
+    vectors = encode_distinct(task_texts(todo, d1_records, d2_records, task), to_vectors)
+    d1 = vectors.filter(~F.col("is_d2")).withColumn("d1_reference_id", F.col("record_id"))
+    lists = todo.select(F.col("d1_id").alias("d1_reference_id"), F.col("d2_id").alias("record_id"))
+    vectors = d1.unionByName(lists.join(vectors.filter("is_d2"), "record_id"))
     return vectors.select(
         F.col("d1_reference_id").cast("string").alias("d1_reference_id"),
         F.col("record_id").cast("string").alias("record_id"),
@@ -152,11 +148,11 @@ def embed_with_task(
     )
 
 
-def encode_distinct(keyed: DataFrame, keys: list[str], to_vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One vector for each of the ``keys``, whose text is the same wherever they stand; equal texts are encoded once."""
-    named = keyed.select(*keys, "text").dropDuplicates(keys)
+def encode_distinct(named: DataFrame, to_vectors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Vectors in place of ``text``; equal texts are encoded once."""
+    texts = named.select("text").distinct()
     # A table: an encoder is too dear to be run again for a lost task of the join.
-    encoded = materialise(to_vectors(named.select(F.col("text").alias("record_id"), "text").dropDuplicates(["record_id"])))
+    encoded = materialise(to_vectors(texts.select(F.col("text").alias("record_id"), "text")))
     return named.join(encoded.withColumnRenamed("record_id", "text"), "text").drop("text")
 
 
