@@ -124,3 +124,19 @@ def test_float_blocks_hold_four_bytes_a_number(spark):
         vectors = spark.createDataFrame([(i, [i + 0.1, 2.0, 3.0]) for i in range(20)], f"id long, vec array<{kind}>")
         packed = knn._pack(vectors, knn._Layout(20, 3, 5)).collect()
         assert sum(len(r.vecs) for r in packed) == 20 * 3 * size
+
+
+def test_index_blocks_are_copied_once_for_a_long_query_block(spark, monkeypatch):
+    a, b, copies = points(7, 400), points(8, 300), []
+    meet = knn._meet
+
+    def spy(queries, index, targets):
+        copies.append(targets.selectExpr("coalesce(sum(x_blocks), 0)").first()[0])
+        return meet(queries, index, targets)
+
+    monkeypatch.setattr(knn, "_meet", spy)
+    assert found(join(spark, a, b, 4, block_rows=10, pivots=3)) == brute(a, b, 4)
+    # 400 queries in blocks of 40, but for one that is not full in each of three cells; 300 vectors in blocks of 10.
+    assert len(copies) == 2 and sum(copies) <= (400 // 40 + 3) * (300 // 10 + 3)
+    long = points(9, knn.MAX_BLOCK_ROWS + 50)
+    assert found(join(spark, long, b, 3, block_rows=len(long), pivots=2)) == brute(long, b, 3)

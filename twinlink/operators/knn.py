@@ -1,7 +1,7 @@
 """Exact k-nearest-neighbour join of two vector tables.
 
 The distance matrix is covered by blocks. Both tables are hashed into blocks of bounded size, every block is packed
-into one row (ids plus one flat float array), and one row pair at a time is scored by a matrix product inside an
+into one row (ids plus one flat float array), and one row pair at a time is scored by matrix products inside an
 Arrow batch. Only the ``k`` best per query leave a block pair; ``row_number() <= k`` then merges them, with the
 window's group limit applied before the shuffle as well.
 
@@ -18,7 +18,7 @@ Three properties matter at scale:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +33,14 @@ from twinlink.session import materialise
 BLOCK_BYTES = 2 << 20
 MAX_BLOCK_ROWS = 2048
 MAX_PIVOTS = 512
+# Between cells, a query block is as long as so many index blocks: an index block is copied once per query block it meets.
+QUERY_BLOCKS = 4
 # Blocks that share one shuffle key; bounds the rows that meet under a key.
 KEY_FANOUT = 64
 # Allowance for rounding in the bounds on cells, relative to the length of the vectors.
 SLACK = 1e-6
-WORK_BYTES = 32 << 20
+# Bytes of one temporary array of doubles; a few of them are held at once.
+WORK_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -140,7 +143,12 @@ class _Nearest:
         What passes the screen is measured by differences in double precision, so that the distance of a pair does
         not depend on the block it met in. Equal distances go to the smaller id.
         """
-        rows, cols = _screen(self.q, x, min(self.k, len(x)), self.limit)
+        parts = []
+        for at in range(0, len(self.q), MAX_BLOCK_ROWS):
+            part = slice(at, at + MAX_BLOCK_ROWS)
+            rows, cols = _screen(self.q[part], x, min(self.k, len(x)), self.limit[part])
+            parts.append((rows + at, cols))
+        rows, cols = (np.concatenate(column) for column in zip(*parts))
         exact = np.empty(len(rows))
         step = max(1, WORK_BYTES // (8 * x.shape[1]))
         for at in range(0, len(rows), step):
@@ -265,6 +273,7 @@ def _pivoted(
 ) -> DataFrame:
     """Two rounds over the cells; only tables of at most ``MAX_PIVOTS`` rows are held on the driver."""
     spark = queries.sparkSession
+    q_layout = replace(q_layout, block_rows=q_layout.block_rows * QUERY_BLOCKS)
     chosen = index.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
     pivots = np.array([r.vec for r in chosen], dtype=np.float64)
 
