@@ -93,6 +93,24 @@ def test_tasks_of_a_sort_grow_in_number_with_the_questions(spark, tmp_path, monk
     assert tasks > 8 and rows == want
 
 
+def test_lists_that_a_join_has_dealt_by_their_key_still_go_to_all_tasks(spark, tmp_path):
+    lists = {f"d{c}": [f"x{i}" for i in range(5)] for c in range(60)}
+    log = str(tmp_path / "tasks")
+
+    def judge(q: pd.DataFrame):
+        from pyspark import TaskContext
+
+        with open(log, "a") as f:
+            f.write(f"{TaskContext.get().partitionId()}\n")
+        return pairwise(fickle)(q)
+
+    df = pairs(spark, lists)
+    joined = df.hint("merge").join(df.select("d1_id").distinct(), "d1_id")
+    got = orders(J.compare_sort(joined, judge, "COMPARING_PROMPT", OPTIONS))
+    assert got == {d: bubble(d, ids, fickle)[0] for d, ids in lists.items()}
+    assert len(set(open(log))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_long_lists_go_through_rounds_with_the_same_result(spark):
     rng = random.Random(5)
     lists = {f"d{n}": [f"x{i}" for i in rng.sample(range(50), n)] for n in range(1, 8)}
