@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinlink.operators import knn
@@ -126,6 +127,14 @@ def test_float_blocks_hold_four_bytes_a_number(spark):
         assert sum(len(r.vecs) for r in packed) == 20 * 3 * size
 
 
+def test_a_query_block_keeps_no_batch_in_memory():
+    ids = pa.array(np.arange(100_000))
+    vecs = pa.array([np.arange(60.0).tobytes(), bytes(1 << 20)], pa.binary())
+    near = knn._Nearest(ids[10:20], knn._as_rows(vecs[0], 10, DIM), 3)
+    assert near.ids.to_pylist() == list(range(10, 20)) and near.q.ravel().tolist() == list(range(60))
+    assert near.ids.get_total_buffer_size() < 1000 and near.q.flags.owndata
+
+
 def test_index_blocks_are_copied_once_for_a_long_query_block(spark, monkeypatch):
     a, b, copies = points(7, 400), points(8, 300), []
     meet = knn._meet

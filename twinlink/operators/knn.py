@@ -87,9 +87,10 @@ def _as_bytes(vecs: pa.Array) -> pa.Array:
 
 
 def _as_rows(vecs: pa.Scalar, n: int, dim: int) -> np.ndarray:
+    """A copy: a view would keep the whole Arrow batch in memory."""
     buffer = vecs.as_buffer()
     kind = np.float32 if buffer.size == 4 * n * dim else np.float64
-    return np.frombuffer(buffer, dtype=kind).reshape(n, dim).astype(np.float64, copy=False)
+    return np.frombuffer(buffer, dtype=kind).reshape(n, dim).astype(np.float64)
 
 
 def _pack(df: DataFrame, layout: _Layout, cell_blocks: DataFrame | None = None) -> DataFrame:
@@ -133,7 +134,8 @@ class _Nearest:
     """The ``k`` nearest so far for the rows of one query block."""
 
     def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
-        self.ids, self.q, self.k = ids, q, k
+        # A query block stays while batches come and go; a slice of its ids would keep the first of them.
+        self.ids, self.q, self.k = ids.take(pa.array(np.arange(len(ids)))), q, k
         self.limit = np.full(len(q), np.inf)
         self.rows, self.dist, self.found = np.zeros(0, dtype=np.int64), np.zeros(0), None
 
