@@ -101,6 +101,18 @@ def test_text_that_is_no_utf8(spark):
     assert restored == {hashlib.sha256(bytes.fromhex("80FF41C3")).hexdigest()}
 
 
+def test_parts_that_begin_with_a_stray_byte_come_back(spark):
+    raws = [b"\x80", b"\x80\x81", b"a\x80b\x81\xc3" * 3, b"\x80" * 9 + "é".encode()]
+    rows = " UNION ALL ".join(f"SELECT {at} AS at, cast(unhex('{raw.hex()}') AS string) AS text" for at, raw in enumerate(raws))
+    df = spark.sql(f"SELECT id * 4 + at AS doc_id, text FROM range(12) JOIN ({rows}) ON true")
+    outputs = fim_frames.fill_in_middle(fim_frames.store_frames(df))
+    made = fim_frames.digests(outputs).collect()
+    assert {r.form for r in made} == {"plain", "psm", "spm"}
+    assert all(r.restored_sha256 == hashlib.sha256(raws[r.doc_id % 4]).hexdigest() for r in made)
+    back = fim_frames.texts(fim_frames.restore(outputs)).selectExpr("doc_id", "cast(text AS binary) AS raw").collect()
+    assert len(back) == 48 and all(bytes(r.raw) == raws[r.doc_id % 4] for r in back)
+
+
 def test_other_parameters_and_no_rows(spark):
     df = spark.createDataFrame([("k", "some text"), ("l", "|other|")], "name string, body string")
     marks = (b"|p|", b"|s|", b"|m|")

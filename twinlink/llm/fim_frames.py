@@ -27,8 +27,12 @@ _FRAME = pa.struct([("first", pa.int64()), ("units", pa.int64()), ("data", pa.bi
 
 
 def _leads(raw: bytes) -> np.ndarray:
-    """Which bytes begin a code point."""
-    return (np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80
+    """Which bytes begin a unit: those that begin a code point, and any that cannot go on with one as nothing or ASCII stands before."""
+    data = np.frombuffer(raw, dtype=np.uint8)
+    out = (data & 0xC0) != 0x80
+    out[:1] = True
+    out[1:] |= data[:-1] < 0x80
+    return out
 
 
 def _count(raw: bytes) -> int:
@@ -77,14 +81,19 @@ class Frames:
 
     def find(self, marker: bytes, start: int) -> int:
         """The unit at which ``marker`` first stands from ``start`` on."""
-        at, tail, keep = start, b"", len(marker) - 1
+        at, held = start, []
         for raw in self.read(start):
-            window = tail + raw
-            found = window.find(marker)
+            held.append((at, raw))
+            at += _count(raw)
+            found = b"".join(raw for _, raw in held).find(marker)
             if found >= 0:
-                return at + _count(window[:found])
-            tail = window[-keep:] if keep else b""
-            at += _count(window[: len(window) - len(tail)])
+                for first, raw in held:
+                    if found < len(raw):
+                        return first + _count(raw[:found])
+                    found -= len(raw)
+            # Of the frames behind, those stay in which a marker may have begun.
+            while held and sum(len(raw) for _, raw in held[1:]) >= len(marker) - 1:
+                held.pop(0)
         raise ValueError(f"no {marker!r} in the output")
 
 
@@ -169,7 +178,8 @@ def _rows_frames(column: pa.Array, codec: Codec) -> Iterator[Frames]:
 def store_frames(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", markers: tuple[bytes, ...] = MARKERS) -> DataFrame:
     """Every row's whole text as ``frames``, with its ``units`` (code points) and whether it is ``marked`` by a marker.
 
-    A null or empty text has no frames. Bytes that are no UTF-8 stay as they are and belong to the unit before them.
+    A null or empty text has no frames. Bytes that are no UTF-8 stay as they are and belong to the unit before them,
+    or are one if nothing or ASCII stands before.
     Null and repeated ids give a row each; other columns are left out. A text is cut into frames one at a time, so
     beside the row itself a task holds one frame.
     """
@@ -273,7 +283,7 @@ def texts(framed: DataFrame, id_col: str = "doc_id") -> DataFrame:
         codec = Codec()
         for batch in batches:
             for at, frames in enumerate(_rows_frames(batch.column("frames"), codec)):
-                text = pa.array([b"".join(frames.read())], type=pa.binary()).cast(pa.string())
+                text = pa.array([b"".join(frames.read())], type=pa.binary()).cast(pa.string(), safe=False)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, 1), text], ["id", "text"])
 
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
