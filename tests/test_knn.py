@@ -149,3 +149,30 @@ def test_index_blocks_are_copied_once_for_a_long_query_block(spark, monkeypatch)
     assert len(copies) == 2 and sum(copies) <= (400 // 40 + 3) * (300 // 10 + 3)
     long = points(9, knn.MAX_BLOCK_ROWS + 50)
     assert found(join(spark, long, b, 3, block_rows=len(long), pivots=2)) == brute(long, b, 3)
+
+
+def test_copies_of_blocks_grow_with_the_blocks_only(spark):
+    copies = {}
+    for n in (16, 64):
+        rows = [(0, b, [b], bytes(8)) for b in range(n)]
+        blocks = materialise(spark.createDataFrame(rows, "cell int, block int, ids array<long>, vecs binary"))
+        targets = spark.createDataFrame([(0, b, 0, n) for b in range(n)], "q_cell int, q_block int, x_cell int, x_blocks int")
+        copies[n] = sum(side.count() for side in knn._copies(blocks, blocks, targets))
+        met = [(r.q_block, r.x_block) for r in knn._meet(blocks, blocks, targets).collect()]
+        assert sorted(met) == [(i, j) for i in range(n) for j in range(n)]
+    assert copies[64] <= 4 * copies[16]
+
+
+def test_groups_hold_no_more_blocks_than_may_share_a_key(spark):
+    n = 10 * knn.KEY_FANOUT
+    rows = spark.range(n).selectExpr("int(id % 5) AS cell", "int(id div 5) AS block")
+    held = rows.withColumn("g", knn._group({c: n // 5 for c in range(5)}, "cell", "block", knn.KEY_FANOUT)).groupBy("g").count()
+    assert sorted((r.g, r["count"]) for r in held.collect()) == [(g, knn.KEY_FANOUT) for g in range(10)]
+
+
+def test_a_limit_keeps_all_that_is_as_near(spark):
+    ids, q = pa.array([1, 2]), np.zeros((2, 2))
+    x = np.array([[3.0, 0.0], [1.0, 0.0], [2.0, 0.0], [0.0, 2.0]])
+    near = knn._Nearest(ids, q, 3, np.array([4.0, 0.5]))
+    near.add(np.arange(4), x)
+    assert near.rows.tolist() == [0, 0, 0] and near.found.tolist() == [1, 2, 3] and near.dist.tolist() == [1.0, 4.0, 4.0]

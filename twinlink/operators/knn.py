@@ -17,12 +17,14 @@ Three properties matter at scale:
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +35,11 @@ from twinlink.session import materialise
 BLOCK_BYTES = 2 << 20
 MAX_BLOCK_ROWS = 2048
 MAX_PIVOTS = 512
-# Between cells, a query block is as long as so many index blocks: an index block is copied once per query block it meets.
+# Between cells, a query block is as long as so many index blocks.
 QUERY_BLOCKS = 4
-# Blocks that share one shuffle key; bounds the rows that meet under a key.
+# A block is copied once per group of the other side's blocks that it meets. The number of groups stays the same until a
+# group holds as many index blocks, or query blocks as long as these, as may meet under one shuffle key.
+GROUPS = 6
 KEY_FANOUT = 64
 # Allowance for rounding in the bounds on cells, relative to the length of the vectors.
 SLACK = 1e-6
@@ -133,10 +137,10 @@ def _screen(q: np.ndarray, x: np.ndarray, k: int, limit: np.ndarray) -> tuple:
 class _Nearest:
     """The ``k`` nearest so far for the rows of one query block."""
 
-    def __init__(self, ids: pa.Array, q: np.ndarray, k: int):
+    def __init__(self, ids: pa.Array, q: np.ndarray, k: int, limit: np.ndarray | None = None):
         # A query block stays while batches come and go; a slice of its ids would keep the first of them.
         self.ids, self.q, self.k = ids.take(pa.array(np.arange(len(ids)))), q, k
-        self.limit = np.full(len(q), np.inf)
+        self.limit = np.full(len(q), np.inf) if limit is None else limit
         self.rows, self.dist, self.found = np.zeros(0, dtype=np.int64), np.zeros(0), None
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -178,7 +182,8 @@ def _comparable(ids: pa.Array) -> np.ndarray:
 def _score_blocks(pairs: DataFrame, k: int, dim: int, both: bool = False) -> DataFrame:
     """Rows ``(side, q_cell, q_block, q_id, x_id, sq_dist)``.
 
-    Side 0 holds query -> index; with ``both``, side 1 holds index -> query from the same product.
+    Side 0 holds query -> index; with ``both``, side 1 holds index -> query from the same product. Where query blocks
+    bring ``q_limits``, the distance per query beyond which no neighbour matters, what lies farther away is left out.
     """
     id_type = pairs.schema["q_ids"].dataType.elementType
 
@@ -201,7 +206,8 @@ def _score_blocks(pairs: DataFrame, k: int, dim: int, both: bool = False) -> Dat
                 if q_key != at:
                     if near is not None:
                         yield emit(0, at, near)
-                    at, near = q_key, _Nearest(q_ids, _as_rows(cols["q_vecs"][i], len(q_ids), dim), k)
+                    limit = np.array(cols["q_limits"][i].values, dtype=np.float64) if "q_limits" in cols else None
+                    at, near = q_key, _Nearest(q_ids, _as_rows(cols["q_vecs"][i], len(q_ids), dim), k, limit)
                 near.add(_comparable(x_ids), x)
                 if both:
                     back = _Nearest(x_ids, x, k)
@@ -223,24 +229,53 @@ def _score_blocks(pairs: DataFrame, k: int, dim: int, both: bool = False) -> Dat
     return pairs.mapInArrow(run, schema)
 
 
+def _by_cell(values: dict[int, object], cell: str, kind: str) -> Column:
+    """A value per cell as a constant; other cells have none."""
+    listed = [values.get(c) for c in range(max(values, default=0) + 1)]
+    return F.get(F.from_json(F.lit(json.dumps(listed)), f"array<{kind}>"), F.col(cell))
+
+
+def _group(sizes: dict[int, int], cell: str, block: str, fanout: int) -> Column:
+    """The group of a block, as a part of all blocks in order of cell and number; ``sizes`` has the blocks per cell."""
+    cells, total = sorted(sizes), sum(sizes.values())
+    starts = dict(zip(cells, accumulate((sizes[c] for c in cells), initial=0)))
+    groups = min(total, max(GROUPS, -(-total // fanout)))
+    place = _by_cell(starts, cell, "int") + F.col(block)
+    return F.floor(place * F.lit(groups) / F.lit(max(1, total))).cast("int")
+
+
 def _meet(queries: DataFrame, index: DataFrame, targets: DataFrame) -> DataFrame:
     """Block pairs to score, one per row; ``targets`` lists ``(q_cell, q_block, x_cell, x_blocks)``.
 
-    An index block is copied once per query block it has to meet, a query block once per ``KEY_FANOUT``
-    index blocks, so that no join key gathers more than these. Blocks are shuffled and never broadcast: a table of
-    vectors does not belong on the driver, however well its files are compressed.
+    A task holds the index blocks of a key and takes the query blocks one by one. Blocks are shuffled and never broadcast:
+    a table of vectors does not belong on the driver, however well its files are compressed.
     """
-    group = F.floor(F.col("x_block") / KEY_FANOUT).cast("int")
-    last = F.floor((F.col("x_blocks") - 1) / KEY_FANOUT).cast("int")
-    wanted = targets.withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).drop("x_blocks")
-    x = _prefix(index, "x").hint("merge").join(wanted, ["x_cell", "x_block"]).withColumn("x_group", group)
-    q = _prefix(queries, "q").hint("merge").join(targets, ["q_cell", "q_block"])
-    q = q.withColumn("x_group", F.explode(F.sequence(F.lit(0), last))).drop("x_blocks")
-    return q.hint("merge").join(x, ["q_cell", "q_block", "x_cell", "x_group"])
+    q, x = _copies(queries, index, targets)
+    pairs = q.hint("merge").join(x, ["q_group", "x_group"]).filter(F.array_contains("x_cells", F.col("x_cell")))
+    return pairs.drop("q_group", "x_group", "x_cells")
+
+
+def _copies(queries: DataFrame, index: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides' blocks, one row per group of the other side that a block has to meet.
+
+    The blocks of a side are dealt into groups, and two groups share one key. So a block is copied once per group and not
+    once per block: at most ``GROUPS`` times, as long as ``KEY_FANOUT`` allows. The driver gets a row per cell.
+    """
+    q_sizes = dict(targets.groupBy("q_cell").agg(F.max("q_block") + 1).collect())
+    q_group = _group(q_sizes, "q_cell", "q_block", max(1, KEY_FANOUT // QUERY_BLOCKS))
+    asked = targets.groupBy("x_cell").agg(F.max("x_blocks").alias("n"), F.collect_set(q_group).alias("groups")).collect()
+    x_group = _group({r.x_cell: r.n for r in asked}, "x_cell", "x_block", KEY_FANOUT)
+    q_groups = _by_cell({r.x_cell: r.groups for r in asked}, "x_cell", "array<int>")
+
+    x = _prefix(index, "x").withColumns({"x_group": x_group, "q_group": F.explode(q_groups)})
+    met = targets.withColumn("x_block", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1))).withColumn("x_group", x_group)
+    met = met.groupBy("q_cell", "q_block", "x_group").agg(F.collect_set("x_cell").alias("x_cells"))
+    q = _prefix(queries, "q").hint("merge").join(met, ["q_cell", "q_block"]).withColumn("q_group", q_group)
+    return q, x
 
 
 def _prefix(blocks: DataFrame, side: str) -> DataFrame:
-    return blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in ("cell", "block", "ids", "vecs")])
+    return blocks.select(*[F.col(c).alias(f"{side}_{c}") for c in blocks.columns])
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -273,7 +308,10 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pivoted(
     queries: DataFrame, index: DataFrame, q_layout: _Layout, x_layout: _Layout, k: int, n_pivots: int
 ) -> DataFrame:
-    """Two rounds over the cells; only tables of at most ``MAX_PIVOTS`` rows are held on the driver."""
+    """Two rounds over the cells; only tables of at most ``MAX_PIVOTS`` rows are held on the driver.
+
+    Both tables are read several times: what it takes to prepare them should have been written before.
+    """
     spark = queries.sparkSession
     q_layout = replace(q_layout, block_rows=q_layout.block_rows * QUERY_BLOCKS)
     chosen = index.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
@@ -343,7 +381,9 @@ def _pivoted(
         .select("q_cell", "q_block", F.explode(remaining("q_cell", "vecs", "rows.kth")).alias("x_cell"))
         .join(F.broadcast(spark.createDataFrame(x_count, "x_cell int, x_blocks int")), "x_cell")
     )
-    second = _score_blocks(_meet(q_blocks, x_blocks, targets), k, x_layout.dim)
+    limits = bounds.select(F.col("q_cell").alias("cell"), F.col("q_block").alias("block"), F.col("rows.kth").alias("limits"))
+    limited = q_blocks.hint("merge").join(limits, ["cell", "block"])
+    second = _score_blocks(_meet(limited, x_blocks, materialise(targets)), k, x_layout.dim)
     return _best(first.unionByName(second), k)
 
 
@@ -375,7 +415,7 @@ def knn_join(
     x = limit_copies(_standardise(index, index_id, index_vec, metric), "id", "vec", k)
     n_pivots = _pivot_count(x_layout, pivots)
     if n_pivots >= 2:
-        best = _pivoted(q, x, q_layout, x_layout, k, n_pivots)
+        best = _pivoted(q, materialise(x), q_layout, x_layout, k, n_pivots)
     else:
         best = _best(_grid(q, x, q_layout, x_layout, k, both=False), k)
     return best.select(F.col("q_id").alias(query_id), F.col("x_id").alias(index_id), "sq_dist", "rank")
@@ -416,6 +456,7 @@ def reciprocal_knn(
     b = limit_copies(_standardise(d2, d2_id, d2_vec, metric), "id", "vec", k)
     a_pivots, b_pivots = _pivot_count(a_layout, pivots), _pivot_count(b_layout, pivots)
     if min(a_pivots, b_pivots) >= 2:
+        a, b = materialise(a), materialise(b)
         there = _pivoted(a, b, a_layout, b_layout, k, b_pivots).select("q_id", "x_id", "sq_dist")
         back = _pivoted(b, a, b_layout, a_layout, k, a_pivots).select(
             F.col("x_id").alias("q_id"), F.col("q_id").alias("x_id"), "sq_dist"
